@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import leaks, lookalike, spans
+from leafmill.llm import leaks, lookalike, noise, spans
 from leafmill.runtime import table
 
 
+def _noisy(spark: SparkSession, d: str) -> DataFrame:
+    pages, lines = table(spark, d, "page_markdown"), table(spark, d, "geom_line")
+    parts = [
+        noise.lines_of_pages(pages, "page_markdown", "page_id", "markdown"),
+        noise.lines_of_table(lines, "geom_line", "line_key", "text", ["run_id", "book_id", "pno"], ["line_order"]),
+    ]
+    return noise.noisy_lines(parts, table(spark, d, "book_record").select("book_id", "title"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _noisy(spark, d).select("table_name", "rec_id", "line_no", "defect").distinct()
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    return noise.repaired_pages(table(spark, d, "page_markdown"), "page_markdown", "page_id", "markdown", _noisy(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [("notation_case", "case_id", "input"), ("page_markdown", "page_id", "markdown")]
     a, b = (lookalike.same_look_pairs(table(spark, d, t), i, c).select(F.lit(t).alias("table_name"), "id_a", "id_b") for t, i, c in parts)
@@ -41,6 +58,6 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes, "p7_found": p7_found, "p7_near": p7_near, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_classes": p3_classes, "p7_found": p7_found, "p7_near": p7_near, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLE: dict[str, str] = {}
