@@ -24,7 +24,7 @@ from leafmill.runtime import materialize
 # fixed values: what a reading machine writes for a Latin letter or a pair of them
 LATIN_CONFUSIONS = [
     ("c", "e"), ("f", "t"), ("0", "o"), ("1", "l"), ("5", "s"), ("u", "n"), ("b", "h"), ("q", "g"), ("y", "v"), ("ii", "u"), ("cl", "d"), ("rn", "m"),
-    ("vv", "w"), ("1", "i"), ("6", "b"), ("8", "b"), ("9", "g"), ("nn", "m"), ("li", "h"), ("2", "z"), ("4", "a"), ("3", "e"),
+    ("vv", "w"), ("1", "i"), ("!", "i"), ("m", "rn"),
 ]
 # fixed values: what it writes for an ideograph (wrong, right)
 HAN_CONFUSIONS = list(
@@ -41,9 +41,9 @@ LEAST, TIMES = 3, 4
 BROADCAST_WORDS = 200_000
 
 _HYPHENS = "-‐‑\xad¬"
-_SPLIT = re.compile(rf"([A-Za-z0-9{LOST}]+)([{_HYPHENS}])\s*$")
-_GOES_ON = re.compile(rf"\s*([A-Za-z0-9{LOST}]+)")
-_RUNS = re.compile(rf"[\w{LOST}]+")
+_SPLIT = re.compile(rf"([A-Za-z0-9!{LOST}]+)([{_HYPHENS}])\s*$")
+_GOES_ON = re.compile(rf"\s*([A-Za-z0-9!{LOST}]+)")
+_RUNS = re.compile(rf"(?:[\w{LOST}]|!(?=[a-z]))+")
 _BRACKETS = re.compile(r"\[[^\]\s]*\]|\*\S+")
 _HAN = "㐀-鿿"
 _HAN_RUN = re.compile(rf"[{_HAN}{LOST}]+")
@@ -118,7 +118,7 @@ def words_of(text: str) -> list[str]:
     """Latin words, lower case, without transcriptions; a word may hold digits and lost signs but is no number."""
     out = []
     for w in _RUNS.findall(_BRACKETS.sub(" ", text)):
-        if len(w) > 2 and re.fullmatch(rf"[A-Za-z0-9{LOST}]+", w) and re.search("[A-Za-z]{2}", w):
+        if re.fullmatch(rf"[A-Za-z0-9!{LOST}]+", w) and (re.search("[A-Za-z]{2}", w) or re.fullmatch("[a-z][0-9!]|[0-9!][a-z]", w)):
             out.append(w.lower())
     return out
 
@@ -173,7 +173,7 @@ def lines_of_table(df: DataFrame, table: str, rec: str, text: str, page: list[st
         F.lead("s.text").over(w).alias("next_text"),
         F.lead(rec).over(w).alias("next_rec"),
         F.lit(0).alias("next_no"),
-        F.lit(False).alias("tail"),
+        F.lead(rec).over(w).isNull().alias("tail"),
     )
 
 
@@ -237,7 +237,7 @@ def _splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for t, rec, no, text, mark, after, nrec, nno in zip(*(b[c] for c in ("table_name", "rec_id", "line_no", "text", "raw_end", "next_text", "next_rec", "next_no"))):
-            m = re.search(rf"([A-Za-z0-9{LOST}]+)[{_HYPHENS}]?$", text)
+            m = re.search(rf"([A-Za-z0-9!{LOST}]+)[{_HYPHENS}]?$", text)
             n = _GOES_ON.match(after) if after else None
             if m and n and not n[1][:1].isupper():
                 x, y = m[1].lower(), n[1].lower()
@@ -281,7 +281,7 @@ def corrections(counts: DataFrame, more: DataFrame | None = None) -> DataFrame:
     rare = hashed.join(c, F.expr("instr(word, wrong) > 0")).withColumn("h", F.col("h") + F.col("d"))
     frequent = counts.where("n >= 1").select(F.col("word").alias("variant"), F.col("n").alias("variant_n"), anagram_hash(F.col("word")).alias("h"))
     found = rare.join(frequent, "h").where(
-        f"variant_n >= greatest({LEAST}, {TIMES} * n) or (word rlike '[a-z][0-9]|[0-9][a-z]' and not variant rlike '[0-9]' and variant_n > n)"
+        f"variant_n >= greatest({LEAST}, {TIMES} * n) or (word rlike '[a-z][0-9!]|[0-9!][a-z]' and not variant rlike '[0-9!]' and variant_n > n)"
     )
     # the difference fits: the confusion must also lead there at some place of the word
     place = F.expr("exists(sequence(1, length(word) - length(wrong) + 1), i -> substring(word, i, length(wrong)) = wrong and concat(left(word, i - 1), right, substring(word, i + length(wrong))) = variant)")
@@ -297,7 +297,7 @@ def _bounded(df: DataFrame) -> DataFrame:
 def class_key(word) -> F.Column:
     out = word
     for wrong, right in sorted(LATIN_CONFUSIONS, key=lambda p: -len(p[0])):
-        if (wrong, right) not in (("1", "i"), ("nn", "m"), ("li", "h")):
+        if (wrong, right) not in (("1", "i"), ("m", "rn")):
             out = F.replace(out, F.lit(wrong), F.lit(right))
     return F.replace(F.replace(out, F.lit("n"), F.lit("u")), F.lit("i"), F.lit("l"))
 
