@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import leaks, lookalike, noise, spans
+from leafmill.llm import leaks, lookalike, markup, noise, spans
 from leafmill.runtime import table
 
 
@@ -36,6 +36,20 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.variant_classes(table(spark, d, "notation_case"), "case_id", "input")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [("page_markdown", "page_id", "markdown"), ("layout_block", "block_id", "table_body")]
+    a, b = (markup.kinds(markup.element_rows(table(spark, d, t), i, "book_id", c)).select(F.lit(t).alias("table_name"), "rec_id", "kind") for t, i, c in parts)
+    return a.union(b)
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_texts(table(spark, d, "page_markdown"), "page_id", "book_id", "markdown")
+
+
+def p4_templates(spark: SparkSession, d: str) -> DataFrame:
+    return markup.template_subtrees(markup.element_rows(table(spark, d, "page_markdown"), "page_id", "book_id", "markdown"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "eval_item"), "item_id", "text", table(spark, d, "documents"), "doc_id", "text")
 
@@ -58,6 +72,6 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_classes": p3_classes, "p7_found": p7_found, "p7_near": p7_near, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_clean": p4_clean, "p4_templates": p4_templates, "p7_found": p7_found, "p7_near": p7_near, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLE: dict[str, str] = {}
