@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import leaks, lookalike, markup, noise, spans
+from leafmill.llm import cuts, leaks, lookalike, markup, noise, spans
+from leafmill.operators.dedup import page_message_key
 from leafmill.runtime import table
 
 
@@ -50,6 +51,20 @@ def p4_templates(spark: SparkSession, d: str) -> DataFrame:
     return markup.template_subtrees(markup.element_rows(table(spark, d, "page_markdown"), "page_id", "book_id", "markdown"))
 
 
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    pages, log = table(spark, d, "page_markdown"), table(spark, d, "usage_log")
+    messages = log.select("completion_tokens", *(c.alias(n) for n, c in page_message_key().items()))
+    return cuts.cut_texts(pages, "page_id", "markdown", "pno", cuts.page_tokens(pages, messages, "page_id"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cuts(spark, d).where("cut").select("page_id")
+
+
+def p6_share(spark: SparkSession, d: str) -> DataFrame:
+    return cuts.cut_share(table(spark, d, "page_markdown"), "page_id", "source", _cuts(spark, d))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "eval_item"), "item_id", "text", table(spark, d, "documents"), "doc_id", "text")
 
@@ -72,6 +87,6 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_clean": p4_clean, "p4_templates": p4_templates, "p7_found": p7_found, "p7_near": p7_near, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_clean": p4_clean, "p4_templates": p4_templates, "p6_found": p6_found, "p6_share": p6_share, "p7_found": p7_found, "p7_near": p7_near, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLE: dict[str, str] = {}
