@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import cuts, leaks, lookalike, markup, noise, spans
+from leafmill.llm import cuts, leaks, lookalike, markup, mixing, noise, spans
 from leafmill.operators.dedup import page_message_key
 from leafmill.runtime import table
 
@@ -79,6 +79,14 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.count_if(F.col("run") >= leaks.RUN).alias("with_run"), F.max("run").alias("longest_run"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, d), table(spark, d, "mix_target"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, d, "documents"), "doc_id", "text")
 
@@ -87,6 +95,6 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_clean": p4_clean, "p4_templates": p4_templates, "p6_found": p6_found, "p6_share": p6_share, "p7_found": p7_found, "p7_near": p7_near, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_clean": p4_clean, "p4_templates": p4_templates, "p6_found": p6_found, "p6_share": p6_share, "p7_found": p7_found, "p7_near": p7_near, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLE: dict[str, str] = {}
