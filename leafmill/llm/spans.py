@@ -48,9 +48,12 @@ def _texts(docs: DataFrame, row_id: str, text: str, span: int) -> DataFrame:
     return docs.select(F.col(row_id).alias("doc"), F.col(text).alias("text")).where((F.length("text") >= span) & F.col("doc").isNotNull())
 
 
-def _locate(margin: int):
+def _locate(margin: int, every: bool):
     """Rows (shard, salt, of, key, text): passages (of = 0, key: hash) come first in their shard, then documents (of = 1, key: id)."""
 
+    def table(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["h", "doc", "pos", "before", "after"]).astype({"h": "int64", "doc": "int64", "pos": "int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, auto, built = None, None, False
         for b in batches:
@@ -70,17 +73,22 @@ def _locate(margin: int):
                 for end, (phrase, n) in auto.iter(text):
                     a = end - n + 1
                     one = (phrase, text[max(0, a - margin) : a], text[end + 1 : end + 1 + margin])
-                    if one not in seen:  # a text that repeats itself has no more to say
+                    if every or one not in seen:  # to pairs, a text that repeats itself has no more to say
                         seen.add(one)
                         rows.append((phrase, key, a, one[1], one[2]))
-            yield pd.DataFrame(rows, columns=["h", "doc", "pos", "before", "after"]).astype({"h": "int64", "doc": "int64", "pos": "int32"})
+                        if len(rows) >= 20_000:
+                            yield table(rows)
+                            rows = []
+            yield table(rows)
 
     return run
 
 
-def occurrences(docs: DataFrame, row_id: str, text: str, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
+def occurrences(docs: DataFrame, row_id: str, text: str, span: int = SPAN, phrase: int = PHRASE, every: bool = True) -> DataFrame:
     """(h, doc, pos, before, after): every occurrence of every recurring passage, with its surroundings.
 
+    every = False: of occurrences of one document with equal surroundings one is enough.
+
     Null texts and texts shorter than `span` hold none, nor do rows without an id. Row ids are long; rows with one id count as one document.
     """
     texts = _texts(docs, row_id, text, span)
@@ -100,7 +108,7 @@ def occurrences(docs: DataFrame, row_id: str, text: str, span: int = SPAN, phras
     second = wanted.join(F.broadcast(salts), "shard").withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("salts")).cast("int"))
     second = second.join(holders, "doc").select("shard", "salt", F.lit(1).alias("of"), F.col("doc").alias("key"), "text")
     rows = first.union(second).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "of")
-    return materialize(rows.mapInPandas(_locate(span - phrase), "h long, doc long, pos int, before string, after string"), "occurrences")
+    return materialize(rows.mapInPandas(_locate(span - phrase, every), "h long, doc long, pos int, before string, after string"), "occurrences")
 
 
 def _windows(occ: DataFrame, span: int, phrase: int) -> DataFrame:
@@ -114,7 +122,7 @@ def _windows(occ: DataFrame, span: int, phrase: int) -> DataFrame:
 
 def sharing_pairs(docs: DataFrame, row_id: str, text: str, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents that share at least `span` successive code points. Not expanded: none."""
-    occ = occurrences(docs, row_id, text, span, phrase)
+    occ = occurrences(docs, row_id, text, span, phrase, every=False)
     margin = span - phrase
     sizes = occ.groupBy("h").agg(F.count("*").alias("n"))
     few, many = (occ.join(sizes.where(cond).select("h"), "h", "left_semi") for cond in (f"n <= {DIRECT}", f"n > {DIRECT}"))
