@@ -127,7 +127,7 @@ def page_spec(c: Column) -> Column:
         bad = F.raise_error(F.concat(F.lit("reversed page range: "), p)).cast("array<int>")
         return F.when(low > high, bad).otherwise(F.sequence(low, high))
 
-    parts = F.filter(F.transform(F.split(c, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, one))))
 
 

@@ -96,7 +96,7 @@ def markdown_cells(c: Column) -> Column:
     """The non-empty cells of Markdown table rows, blanks dropped; separator rows are none."""
     from leafmill.functions.text import compact
 
-    lines = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x.contains("|") & ~x.rlike(r"^[\s:\-|]*$"))
+    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x.contains("|") & ~x.rlike(r"^[\s:\-|]*$"))
     return F.filter(F.transform(F.flatten(F.transform(lines, lambda x: F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|"))), compact), lambda x: x != "")
 
 

@@ -16,6 +16,7 @@ from leafmill.functions import text as X
 from leafmill.operators import align as A
 from leafmill.operators import books as B
 from leafmill.operators import geometry as G
+from leafmill.operators import layout as LY
 from leafmill.operators import tables as TB
 from leafmill.operators import usage as U
 from leafmill.runtime import materialize, table
@@ -438,3 +439,15 @@ def a16_page_markdown(s: SparkSession, d: str) -> DataFrame:
     b = b.withColumn("pno", F.col("page_idx") + F.when(F.col("part_file") == "part2", 200).otherwise(0))
     rows = b.groupBy(*G.PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "x0", "block_id", "t"))).alias("b"))
     return rows.select(*G.PAGE, F.array_join(F.transform("b", lambda x: x["t"]), "\n\n").alias("text"))
+
+
+@query()
+def n6_page_plans(s: SparkSession, d: str) -> DataFrame:
+    p = LY.plan_pages(table(s, d, "geom_line"), "line_key")
+    return p.select(*G.PAGE, "overflows", F.size("lines").alias("physical_lines"), F.bround(F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["size"]) / F.size("lines"), 6).alias("mean_size"))
+
+
+@query()
+def w10_table_columns(s: SparkSession, d: str) -> DataFrame:
+    c = LY.table_columns(table(s, d, "geom_line"), G.PAGE)
+    return c.select(*G.PAGE, F.size("columns").alias("n_columns"))
