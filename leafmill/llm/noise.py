@@ -37,6 +37,8 @@ HAN_CONFUSIONS = list(
 LOST = "�■□"
 #: a variant is frequent if it is seen so many times, and so many times as often as the rare word
 LEAST, TIMES = 3, 4
+#: share of a page's height, above and below, that is margin
+MARGIN = 0.08
 #: rows that may be broadcast into joins: words of at most some 60 bytes
 BROADCAST_WORDS = 200_000
 
@@ -63,7 +65,7 @@ def _strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-LINE = "table_name string, rec_id long, line_no int, book_id string, pno int, edge boolean, text string, raw_end string, next_text string, next_rec long, next_no int, tail boolean"
+LINE = "table_name string, rec_id long, line_no int, book_id string, pno int, edge string, text string, raw_end string, next_text string, next_rec long, next_no int, tail boolean"
 
 
 def number_of(text: str) -> int | None:
@@ -128,6 +130,11 @@ def pairs_of(text: str) -> list[str]:
     return [r[i : i + 2] for r in _HAN_RUN.findall(text) for i in range(len(r) - 1)]
 
 
+def _side(k: int, n: int) -> str:
+    """t1, t2 for the first two lines of n, b1, b2 for the last two, else ''."""
+    return "t1" if k == 0 else "b1" if k == n - 1 else "t2" if k == 1 else "b2" if k == n - 2 else ""
+
+
 def _page_lines(table: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -139,7 +146,7 @@ def _page_lines(table: str):
                     seen = visible(x).strip()
                     after = full[k + 1] if k + 1 < len(full) and full[k + 1][0] == i + 1 else None
                     m = _SPLIT.search(x.rstrip())
-                    rows.append((table, rec, i, book, pno, k in (0, len(full) - 1), seen, m[2] if m else None, visible(after[1]).strip() if after else None, rec if after else None, after[0] if after else None, k == len(full) - 1))
+                    rows.append((table, rec, i, book, pno, _side(k, len(full)), seen, m[2] if m else None, visible(after[1]).strip() if after else None, rec if after else None, after[0] if after else None, k == len(full) - 1))
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in LINE.split(", ")]).astype({"next_rec": "Int64", "next_no": "Int32"})
 
     return run
@@ -151,8 +158,12 @@ def lines_of_pages(df: DataFrame, table: str, rec: str, text: str) -> DataFrame:
     return few.mapInPandas(_page_lines(table), LINE)
 
 
-def lines_of_table(df: DataFrame, table: str, rec: str, text: str, page: list[str], order: list[str]) -> DataFrame:
-    """Lines of a table that has one row each, ordered within their page by `order`; line_no is 0."""
+def lines_of_table(df: DataFrame, table: str, rec: str, text: str, page: list[str], order: list[str], top: str = "y0", height: float = 1000.0) -> DataFrame:
+    """Lines of a table that has one row each, ordered within their page by `order`; line_no is 0.
+
+    Only what begins in the upper or lower margin can be a running line or a page number; a title that opens the body is
+    a heading. Where a line has no place, it must be the first or last of its page.
+    """
 
     @F.pandas_udf("text string, mark string")
     def seen(s: pd.Series) -> pd.DataFrame:
@@ -160,14 +171,19 @@ def lines_of_table(df: DataFrame, table: str, rec: str, text: str, page: list[st
         return pd.DataFrame({"text": [visible(x).strip() for x in s], "mark": [m[2] if m else None for m in marks]})
 
     w = Window.partitionBy(*page).orderBy(*order, rec)
-    rows = df.where(F.col(text).isNotNull()).select(*dict.fromkeys([rec, *page, *order, "book_id", "pno"]), seen(F.col(text)).alias("s")).where("s.text != ''")
+    rows = df.where(F.col(text).isNotNull()).select(*dict.fromkeys([rec, *page, *order, "book_id", "pno", top]), seen(F.col(text)).alias("s")).where("s.text != ''")
     return rows.select(
         F.lit(table).alias("table_name"),
         F.col(rec).alias("rec_id"),
         F.lit(0).alias("line_no"),
         "book_id",
         F.coalesce("pno", F.lit(-1)).alias("pno"),
-        (F.lag(rec).over(w).isNull() | F.lead(rec).over(w).isNull()).alias("edge"),
+        F.when(F.col(top) < MARGIN * height, "t1")
+        .when(F.col(top) > (1 - MARGIN) * height, "b1")
+        .when(F.col(top).isNull() & F.lag(rec).over(w).isNull(), "t1")
+        .when(F.col(top).isNull() & F.lead(rec).over(w).isNull(), "b1")
+        .otherwise("")
+        .alias("edge"),
         F.col("s.text").alias("text"),
         F.col("s.mark").alias("raw_end"),
         F.lead("s.text").over(w).alias("next_text"),
@@ -188,19 +204,19 @@ def _page_number(s: pd.Series, page: pd.Series) -> pd.Series:
 
 
 def edge_defects(lines: DataFrame, titles: DataFrame) -> DataFrame:
-    """(table_name, rec_id, line_no, defect): running lines and page numbers among the first and last lines of pages.
+    """(table_name, rec_id, line_no, defect): running lines and page numbers at the edges of pages.
 
     titles: book_id, title. A running line has a title of its book for key, or a key that its book repeats at the edges
     of other pages and that is written like the titles of the catalogue; a misread one is within two characters of
     such a key of its book, whose first or second half it shares. Null titles are none.
     """
-    edges = lines.where("edge").select("table_name", "rec_id", "line_no", "book_id", "pno", "text", _page_number("text", F.col("pno") + 1).alias("numbered"), _title("text").alias("t"))
-    edges = materialize(edges.select("table_name", "rec_id", "line_no", "book_id", "pno", "numbered", F.col("t.key").alias("key"), F.col("t.shape").alias("shape")), "edges")
+    edges = lines.where("edge != ''").select("table_name", "rec_id", "line_no", "book_id", "pno", "edge", "text", _page_number("text", F.col("pno") + 1).alias("numbered"), _title("text").alias("t"))
+    edges = materialize(edges.select("table_name", "rec_id", "line_no", "book_id", "edge", "numbered", F.col("t.key").alias("key"), F.col("t.shape").alias("shape")), "edges")
     known = titles.where("title is not null").select("book_id", _title("title").alias("t")).select("book_id", F.col("t.key").alias("key"), F.col("t.shape").alias("shape"))
     rest = edges.where("not numbered and length(key) > 2")
     # longer shapes than one word tell titles from labels and headings
     shapes = known.where("length(shape) > 1").select("shape").distinct()
-    shaped = rest.join(shapes, "shape", "left_semi")
+    shaped = rest.where("edge in ('t1', 'b1')").join(shapes, "shape", "left_semi")
     keys = known.select("book_id", "key").union(shaped.select("book_id", "key")).distinct().where("length(key) > 5")
     near_key = lambda half: F.expr(f"{half}(key, cast(length(key) / 2 as int))")
     halves = [F.struct(F.lit(h).alias("h"), near_key(h).alias("part")) for h in ("left", "right")]
@@ -209,8 +225,14 @@ def edge_defects(lines: DataFrame, titles: DataFrame) -> DataFrame:
     b = own.select("book_id", "key", F.explode(F.array(*halves)).alias("half"))
     near = b.join(a, ["book_id", "half"]).where("abs(length(key) - length(of)) <= 1 and levenshtein(key, of, 2) between 0 and 2").select("book_id", "key").distinct()
     all_keys = keys.union(near).union(known.select("book_id", "key")).distinct()
-    running = rest.join(all_keys, ["book_id", "key"], "left_semi").select("table_name", "rec_id", "line_no", F.lit("running").alias("defect"))
-    return running.union(edges.where("numbered").select("table_name", "rec_id", "line_no", F.lit("pagenum")))
+    row = ["table_name", "rec_id", "line_no", "edge"]
+    running = rest.join(all_keys, ["book_id", "key"], "left_semi").select(*row, F.lit("running").alias("defect"))
+    found = running.union(edges.where("numbered").select(*row, F.lit("pagenum")))
+    # the second line of a page counts only below one that does
+    outer = found.where("edge in ('t1', 'b1')")
+    under = outer.select("table_name", "rec_id", F.replace("edge", F.lit("1"), F.lit("2")).alias("edge")).distinct()
+    inner = found.where("edge in ('t2', 'b2')").join(under, ["table_name", "rec_id", "edge"], "left_semi").select(*found.columns)
+    return outer.union(inner).drop("edge")
 
 
 def anagram_hash(word) -> F.Column:
