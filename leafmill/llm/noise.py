@@ -37,6 +37,10 @@ HAN_CONFUSIONS = list(
 LOST = "�■□"
 #: a variant is frequent if it is seen so many times, and so many times as often as the rare word
 LEAST, TIMES = 3, 4
+#: no word is longer
+LONGEST_WORD = 200
+#: a longer line is body text
+LONGEST_HEAD = 200
 #: share of a page's height, above and below, that is margin
 MARGIN = 0.08
 #: rows that may be broadcast into joins: words of at most some 60 bytes
@@ -46,7 +50,7 @@ _HYPHENS = "-‐‑\xad¬"
 _SPLIT = re.compile(rf"([A-Za-z0-9!{LOST}]+)([{_HYPHENS}])\s*$")
 _GOES_ON = re.compile(rf"\s*([A-Za-z0-9!{LOST}]+)")
 _RUNS = re.compile(rf"(?:[\w{LOST}]|!(?=[a-z]))+")
-_BRACKETS = re.compile(r"\[[^\]\s]*\]|\*\S+")
+_BRACKETS = re.compile(r"\[[^\[\]\s]*\]|\*\S+")
 _HAN = "㐀-鿿"
 _HAN_RUN = re.compile(rf"[{_HAN}{LOST}]+")
 _FUNCTION_WORDS = frozenset("a an the and or of in on at by to for from with as".split())
@@ -91,12 +95,14 @@ def number_of(text: str) -> int | None:
 
 
 def is_page_number(text: str, page: int) -> bool:
-    m = _NUMBER_SHELL.match(text)
+    m = _NUMBER_SHELL.match(text) if len(text) <= LONGEST_HEAD else None
     return bool(m) and page in (number_of(m[1]), number_of(m[1].replace("l", "1").replace("I", "1")))
 
 
 def title_key(text: str) -> str:
     """A title without page number, ornaments, blanks and case, to compare running lines by."""
+    if len(text) > LONGEST_HEAD:
+        return ""
     m = _HEAD_NUMBER.search(text)
     text = text[: m.start()] + " " + text[m.end() :] if m else text
     return "".join(c for c in text if c.isalnum() or c in LOST).lower()
@@ -104,9 +110,11 @@ def title_key(text: str) -> str:
 
 def title_shape(text: str) -> str:
     """What kind of title a text is: its function words, X for each other word; '' if it is written like a sentence."""
+    if len(text) > LONGEST_HEAD:
+        return ""
     m = _HEAD_NUMBER.search(text)
     text = (text[: m.start()] + " " + text[m.end() :] if m else text).strip().strip("·•~—–- ")
-    if _SENTENCE.search(text) or len(text) > 120:
+    if _SENTENCE.search(text):
         return ""
     if re.search(f"[{_HAN}]", text):
         return "".join(p if _FUNCTION_HAN.fullmatch(p) else "X" for p in _FUNCTION_HAN.split(re.sub(r"\s", "", text)) if p)
@@ -145,7 +153,7 @@ def _page_lines(table: str):
                 for k, (i, x) in enumerate(full):
                     seen = visible(x).strip()
                     after = full[k + 1] if k + 1 < len(full) and full[k + 1][0] == i + 1 else None
-                    m = _SPLIT.search(x.rstrip())
+                    m = _SPLIT.search(x.rstrip()[-LONGEST_WORD:])
                     rows.append((table, rec, i, book, pno, _side(k, len(full)), seen, m[2] if m else None, visible(after[1]).strip() if after else None, rec if after else None, after[0] if after else None, k == len(full) - 1))
             yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in LINE.split(", ")]).astype({"next_rec": "Int64", "next_no": "Int32"})
 
@@ -167,7 +175,7 @@ def lines_of_table(df: DataFrame, table: str, rec: str, text: str, page: list[st
 
     @F.pandas_udf("text string, mark string")
     def seen(s: pd.Series) -> pd.DataFrame:
-        marks = [_SPLIT.search(x.rstrip()) for x in s]
+        marks = [_SPLIT.search(x.rstrip()[-LONGEST_WORD:]) for x in s]
         return pd.DataFrame({"text": [visible(x).strip() for x in s], "mark": [m[2] if m else None for m in marks]})
 
     w = Window.partitionBy(*page).orderBy(*order, rec)
@@ -259,7 +267,7 @@ def _splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for t, rec, no, text, mark, after, nrec, nno in zip(*(b[c] for c in ("table_name", "rec_id", "line_no", "text", "raw_end", "next_text", "next_rec", "next_no"))):
-            m = re.search(rf"([A-Za-z0-9!{LOST}]+)[{_HYPHENS}]?$", text)
+            m = re.search(rf"([A-Za-z0-9!{LOST}]+)[{_HYPHENS}]?$", text[-LONGEST_WORD:])
             n = _GOES_ON.match(after) if after else None
             if m and n and not n[1][:1].isupper():
                 x, y = m[1].lower(), n[1].lower()
@@ -275,8 +283,8 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = words_of(text)
             found = {w for w in (words[:-1] if mark else words) if _WRONG.search(w)}
             found |= {p for p in pairs_of(text) if p[0] in _WRONG_HAN or p[1] in _WRONG_HAN}
-            body = re.sub(rf"[\s…]*[{LOST}]?[\s…]*$", "", text) if last else text
-            if any(s in body for s in LOST):
+            body = text.rstrip(" \t…") if last else text
+            if any(s in (body[:-1] if last and body[-1:] in LOST else body) for s in LOST):
                 found.add(LOST[0])
             rows.extend((t, rec, no, w) for w in found)
         yield pd.DataFrame(rows, columns=["table_name", "rec_id", "line_no", "word"])
@@ -383,8 +391,6 @@ def _repaired(text: str, defects) -> str:
         line = raw.rstrip()
         if i in drop:
             continue
-        for wrong, right in fixes.get(i, []):
-            line = re.sub(re.escape(wrong), lambda m, r=right: r if m[0].islower() or not m[0].isascii() else r.upper() if m[0].isupper() and len(m[0]) > 1 else r.capitalize(), line, flags=re.I)
         if not line.strip():
             open_ = None
             out.append("")
@@ -396,6 +402,8 @@ def _repaired(text: str, defects) -> str:
         else:
             out.append(line)
             open_ = "text" if not re.match(r"\s*([#|`~$\\{<=]|[-*]\s)", line) else None
+        for wrong, right in fixes.get(i, []):  # in the paragraph, as a split word is whole only there
+            out[-1] = re.sub(re.escape(wrong), lambda m, r=right: r if m[0].islower() or not m[0].isascii() else r.upper() if m[0].isupper() and len(m[0]) > 1 else r.capitalize(), out[-1], flags=re.I)
         if i in joins and out:
             out[-1] = re.sub(rf"[{_HYPHENS}]\s*$", "", out[-1])
             open_ = "split"

@@ -63,6 +63,15 @@ def window_hashes(cp: np.ndarray, k: int) -> np.ndarray:
     return _mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
+def span_hashes(cp: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hash of each span [start, stop) in constant time: equal spans have equal hashes, spans of other lengths others."""
+    n = cp.size
+    up, down = _powers(1 << max(18, (n + 1).bit_length()))
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(char_values(cp) * up[:n], out=sums[1:])
+    return _mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+
+
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     """Minimum of every window of w values, in time independent of w (block-wise prefix and suffix minima)."""
     n = a.size

@@ -1,7 +1,9 @@
 """Look-alikes, noise, markup, cuts and mixing on small fixtures."""
 
 import datetime as dt
+import time
 
+import pandas as pd
 import pytest
 
 from leafmill.llm import cuts, lookalike, markup, mixing, noise, queries
@@ -107,6 +109,19 @@ def test_templates_are_cut(spark):
     assert got[9].clean == "Home of the site | about" and got[10].clean is None and got[11].kinds == []
 
 
+ODD = ["<td>x" * 20000, "{{a " * 20000, "[[" * 20000, "*a " * 20000, "`a" * 20001, "\\begin{a}" * 9000, "<code>" * 9000, "\\(a" * 9000, "-" * 50000, "| " + "a" * 100000, "- " * 30000, " " * 100000, "<a" + " " * 100000, "![" * 20000, "\u0303" * 50000]
+
+
+def test_odd_texts_take_linear_time():
+    began = time.time()
+    for t in ODD:
+        markup.elements(t)
+        cuts.ending(t, 1)
+        assert noise.title_shape(t) == "" and noise.is_page_number(t, 1) is False
+        list(noise._page_lines("p")([pd.DataFrame({"rec_id": [1], "book_id": ["b"], "pno": [1], "text": [t]})]))
+    assert time.time() - began < 60
+
+
 # ---- cuts
 
 ENDINGS = [("The vowel is short.", "stop"), ("参看附录。", "stop"), ("a b.\n\n## tongue", "label"), ("a b.\n\nF2 204 Hz", "closed"), ("a b.\n\n· 12 ·", "closed"), ("a b.\n\n[kʰa]", "closed"), ("a.\n\n$$\nx\n$$", "closed"), ("a.\n\n$$\nx = ", "open"), ("it was (", "open"), ("it was …", "sign"), ("it w�", "sign"), ("如果音节是短的，那么", "prose"), ("| a | b |\n| - | - |\n| c | d |", "closed"), ("| a | b |\n| - | - |\n| c |", "open"), ("", "empty")]
