@@ -64,9 +64,9 @@ def visible_length(c: Column) -> Column:
     return F.length(compact(c)).cast("long")
 
 
-def anchor_form(c: Column) -> Column:
+def anchor_form(c: Column, composed: bool = False) -> Column:
     """Composed form with single blanks, to count one text over many pages."""
-    return strip_blanks(F.regexp_replace(nfc(c), f"{BLANK}+", " "))
+    return strip_blanks(F.regexp_replace(c if composed else nfc(c), f"{BLANK}+", " "))
 
 
 # fixed values: what a line is that is nothing but a page number

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,13 +26,18 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def at_least(a: str, b: str, bound: float) -> float:
-    """ratio(a, b) where it reaches the bound, else some value below it: cheap upper bounds are tried first."""
-    m = difflib.SequenceMatcher(None, a, b)
-    for quick in (m.real_quick_ratio, m.quick_ratio):
-        if (r := quick()) < bound:
-            return min(r, bound - 1e-9)
-    return m.ratio()
+def at_least(a: str, b: str, bound: float, counts: tuple[Counter, Counter] | None = None) -> float:
+    """ratio(a, b) where it reaches the bound, else some value below it: what lengths and shared characters allow is tried first."""
+    n = len(a) + len(b)
+    if not n or a == b:
+        return 1.0
+    below = bound - 1e-9
+    if 2.0 * min(len(a), len(b)) / n < bound:
+        return below
+    x, y = counts or (Counter(a), Counter(b))
+    if 2.0 * sum(min(k, y[ch]) for ch, k in x.items() if ch in y) / n < bound:
+        return below
+    return ratio(a, b)
 
 
 def bare(text: str) -> str:
@@ -51,19 +57,18 @@ def align(markdown: str, lines: list[dict]) -> list[dict]:
     Each geometry line, in order, takes the unused text line most like it (the first of equals) if that is SIMILAR or more.
     """
     texts = [x.strip() for x in plain_markdown(markdown).splitlines() if x.strip()]
-    free = dict(enumerate(texts))
+    free, chars = dict(enumerate(texts)), [Counter(t) for t in texts]
     out = []
     for g in lines:
         own = (g["text"] or "").strip()
         if not own or not free:
             continue
-        score, best = 0.0, -1
-        for i, t in free.items():
-            r = 1.0 if t == own else at_least(own, t, max(score, SIMILAR))
-            if r > score:
+        best = next((i for i, t in free.items() if t == own), -1)  # nothing is more like a text than itself
+        score, mine = float(best >= 0), Counter(own)
+        for i, t in free.items() if best < 0 else ():
+            r = at_least(own, t, max(score, SIMILAR), (mine, chars[i]))
+            if r > score and r >= SIMILAR:
                 score, best = r, i
-                if r == 1.0:
-                    break
         if best >= 0 and score >= SIMILAR:
             margin = bool(g["header_footer"])
             out.append({"text": free.pop(best), "x0": g["x0"], "y0": g["y0"], "x1": g["x1"], "y1": g["y1"], "mode": "header_footer_excluded" if margin else "aligned", "similarity": score, "order_exempt": margin})
@@ -125,7 +130,7 @@ def position_gate(expected: DataFrame, actual: DataFrame, page: list[str], row_i
 
     @F.pandas_udf(T.DoubleType())
     def like(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([1.0 if p == q else min(len(p), len(q)) / max(len(p), len(q)) if p in q or q in p else ratio(p, q) for p, q in zip(x, y)])
+        return pd.Series([1.0 if p == q else min(len(p), len(q)) / max(len(p), len(q)) if p in q or q in p else at_least(p, q, 0.5) for p, q in zip(x, y)])
 
     best = near.withColumn("score", like("e", "a")).groupBy(*page, "e_id", "e", "ey").agg(F.max_by(F.struct("score", "a0", "a1"), F.struct("score", -F.col("a_id"))).alias("b"))
     dev = F.abs((F.col("b.a0") + F.col("b.a1")) / 2 - F.col("ey"))

@@ -71,9 +71,12 @@ def split_columns(lines: DataFrame, page: list[str] = PAGE, gap: float = 120.0)
     return lines.withColumn("split_column", F.when((high - low >= gap) & (x > (low + high) / 2.0), 1).otherwise(0).cast("long"))
 
 
-def repeated_lines(lines: DataFrame, text: str, page: list[str], group: list[str], least: int = 2, longest: int = 80) -> DataFrame:
-    """(group, anchor, pages): texts on `least` pages of a group or more, counted once a page. Counts are combined map-side."""
-    a = lines.select(*dict.fromkeys([*group, *page]), anchor_form(F.col(text)).alias("anchor")).where(F.length("anchor").between(1, longest))
+def repeated_lines(lines: DataFrame, text: str, page: list[str], group: list[str], least: int = 2, longest: int = 80, composed: bool = False) -> DataFrame:
+    """(group, anchor, pages): texts on `least` pages of a group or more, counted once a page. Counts are combined map-side.
+
+    composed: the texts are in composed form already.
+    """
+    a = lines.select(*dict.fromkeys([*group, *page]), anchor_form(F.col(text), composed).alias("anchor")).where(F.length("anchor").between(1, longest))
     return a.distinct().groupBy(*group, "anchor").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
 
 

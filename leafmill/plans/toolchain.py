@@ -241,8 +241,9 @@ _ANCHOR = f"regexp_replace(regexp_replace(nfc_normalize(line), '{_BLANK}+', ' ',
 @query(f"""WITH l AS (SELECT DISTINCT book_id, page_id, {_ANCHOR} AS anchor FROM (SELECT book_id, page_id, unnest(string_split(markdown, chr(10))) AS line FROM page_markdown))
 SELECT book_id, anchor, CAST(count(*) AS BIGINT) AS pages FROM l WHERE length(anchor) BETWEEN 1 AND 80 GROUP BY 1, 2 HAVING count(*) >= 2""")
 def a5_repeated_lines(s: SparkSession, d: str) -> DataFrame:
-    lines = table(s, d, "page_markdown").select("book_id", "page_id", F.explode(F.split("markdown", "\n")).alias("line"))
-    return G.repeated_lines(lines, "line", ["page_id"], ["book_id"])
+    # composed per page, as a line break joins no characters
+    lines = table(s, d, "page_markdown").select("book_id", "page_id", F.explode(F.split(X.nfc(F.col("markdown")), "\n")).alias("line"))
+    return G.repeated_lines(lines, "line", ["page_id"], ["book_id"], composed=True)
 
 
 _KEYS = ["pharynx", "Glottis", "语料", "硬腭", "spectrum", "zzz"]
