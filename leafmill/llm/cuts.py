@@ -187,12 +187,12 @@ def token_rates(rows: DataFrame) -> np.ndarray:
 
 
 def cut_texts(df: DataFrame, rec: str, text: str, page: str, tokens: DataFrame | None = None) -> DataFrame:
-    """(rec, state, cut): one row per text that is not null; cut is true where the text lost its end.
+    """(rec, state, cut): one row per text that is not null and has an id; cut is true where the text lost its end.
 
     tokens: rec, tokens (the fewest reported by the text's messages); texts without are judged by themselves. Empty and
     blank texts are not cut, unless their message reports tokens.
     """
-    texts = df.where(F.col(text).isNotNull()).select(F.col(rec).alias("rec"), F.coalesce(F.col(page), F.lit(-1)).alias("page"), F.col(text).alias("text"))
+    texts = df.where(F.col(text).isNotNull() & F.col(rec).isNotNull()).select(F.col(rec).alias("rec"), F.coalesce(F.col(page), F.lit(-1)).alias("page"), F.col(text).alias("text"))
     ends = materialize(texts.mapInPandas(_endings, ENDING), "endings")
     vocabulary = materialize(texts.mapInPandas(_vocabulary, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "vocabulary")
     word = prefix_counts(vocabulary.where("kind = 'word'").select("key", "n"), ends.where("word != ''").select(F.col("word").alias("key")).distinct())

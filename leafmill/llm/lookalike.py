@@ -116,7 +116,7 @@ def form_key(text: Column) -> Column:
 def same_look_pairs(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose texts look the same but are not the same code points.
 
-    Null and empty texts look like nothing and give no pair. Exact copies are no pair of each other, but each of them
+    Null and empty texts look like nothing and give no pair, nor do rows without an id. Exact copies are no pair of each other, but each of them
     is of every other variant. The groups are those of `variant_classes`; only classes with two spellings or more are
     expanded, over the distinct spellings first, so exact copies never meet each other.
     """
@@ -134,7 +134,7 @@ def same_look_pairs(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def _spellings(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    rows = df.where(F.length(text) > 0).select(F.col(row_id).alias("__id"), F.col(text).alias("__text"))
+    rows = df.where((F.length(text) > 0) & F.col(row_id).isNotNull()).select(F.col(row_id).alias("__id"), F.col(text).alias("__text"))
     rows = rows.withColumn("__form", visible_form("__text"))
     return rows.select("__id", form_key(F.col("__form")).alias("form"), form_key(F.col("__text")).alias("spelling"))
 
@@ -142,9 +142,9 @@ def _spellings(df: DataFrame, row_id: str, text: str) -> DataFrame:
 def variant_classes(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(row_id, class_id, spellings): each row's class of same-looking texts, named by its smallest row id.
 
-    Rows with a null text are left out; empty texts form one class.
+    Rows with a null text or id are left out; empty texts form one class.
     """
-    rows = df.where(F.col(text).isNotNull()).select(F.col(row_id).alias("__id"), F.col(text).alias("__text")).withColumn("__form", visible_form("__text"))
+    rows = df.where(F.col(text).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).alias("__id"), F.col(text).alias("__text")).withColumn("__form", visible_form("__text"))
     rows = rows.select("__id", form_key(F.col("__form")).alias("form"), form_key(F.col("__text")).alias("spelling"))
     spelled = rows.groupBy("form", "spelling").agg(F.min("__id").alias("low"))
     classes = spelled.groupBy("form").agg(F.min("low").alias("class_id"), F.count("*").alias("spellings"))

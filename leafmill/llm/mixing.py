@@ -8,13 +8,14 @@ documents and, of the last epoch, the prefix of a seeded order that fits its rem
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from leafmill.runtime import materialize
 
@@ -43,16 +44,13 @@ def _encoder(path: str):
 
 def token_counts(df: DataFrame, text: str, out: str = "n_tokens", tokenizer: str = TOKENIZER) -> DataFrame:
     """`df` without `text`, with its number of tokens; null and empty texts have 0. tokenizer: a tiktoken vocabulary file."""
-    rest = [c for c in df.columns if c != text]
-    schema = df.select(*rest, F.lit(0).cast("long").alias(out)).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(LongType())
+    def count(s: pd.Series) -> pd.Series:
         enc = _encoder(tokenizer)
-        for b in batches:
-            n = [0 if t is None else len(enc.encode_ordinary(t)) for t in b[text]]
-            yield b[rest].assign(**{out: pd.Series(n, index=b.index, dtype="int64")})
+        return pd.Series([0 if t is None else len(enc.encode_ordinary(t)) for t in s], dtype="int64")
 
-    return df.mapInPandas(run, schema)
+    return df.select(*(c for c in df.columns if c != text), count(text).alias(out))
 
 
 @dataclass

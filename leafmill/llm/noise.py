@@ -161,8 +161,8 @@ def _page_lines(table: str):
 
 
 def lines_of_pages(df: DataFrame, table: str, rec: str, text: str) -> DataFrame:
-    """Lines of page texts. df: rec, text, book_id, pno. Null and blank texts have none; blank lines are counted, not kept."""
-    few = df.where(F.col(text).isNotNull()).select(F.col(rec).alias("rec_id"), "book_id", F.coalesce("pno", F.lit(-1)).alias("pno"), F.col(text).alias("text"))
+    """Lines of page texts. df: rec, text, book_id, pno. Null and blank texts and rows without an id have none; blank lines are counted, not kept."""
+    few = df.where(F.col(text).isNotNull() & F.col(rec).isNotNull()).select(F.col(rec).alias("rec_id"), "book_id", F.coalesce("pno", F.lit(-1)).alias("pno"), F.col(text).alias("text"))
     return few.mapInPandas(_page_lines(table), LINE)
 
 
@@ -179,7 +179,7 @@ def lines_of_table(df: DataFrame, table: str, rec: str, text: str, page: list[st
         return pd.DataFrame({"text": [visible(x).strip() for x in s], "mark": [m[2] if m else None for m in marks]})
 
     w = Window.partitionBy(*page).orderBy(*order, rec)
-    rows = df.where(F.col(text).isNotNull()).select(*dict.fromkeys([rec, *page, *order, "book_id", "pno", top]), seen(F.col(text)).alias("s")).where("s.text != ''")
+    rows = df.where(F.col(text).isNotNull() & F.col(rec).isNotNull()).select(*dict.fromkeys([rec, *page, *order, "book_id", "pno", top]), seen(F.col(text)).alias("s")).where("s.text != ''")
     return rows.select(
         F.lit(table).alias("table_name"),
         F.col(rec).alias("rec_id"),

@@ -31,7 +31,7 @@ def test_visible_is_stable():
 
 
 def test_pairs_of_variants(spark):
-    rows = [(1, "ka", "x"), (2, "kа", "x"), (3, "ka", "x"), (4, None, "x"), (5, "", "x"), (6, "", "x"), (7, "KA", "x"), (8, "ｋa", "x"), (9, "\u200b", "x"), (10, "k" * 50000, "x")]
+    rows = [(1, "ka", "x"), (2, "kа", "x"), (3, "ka", "x"), (4, None, "x"), (5, "", "x"), (6, "", "x"), (7, "KA", "x"), (8, "ｋa", "x"), (9, "\u200b", "x"), (10, "k" * 50000, "x"), (None, "ka", None)]
     df = spark.createDataFrame(rows, "id long, t string, form string")
     got = {tuple(r) for r in lookalike.same_look_pairs(df, "id", "t").collect()}
     assert got == {(1, 2), (2, 3), (1, 8), (3, 8), (2, 8)}
@@ -58,6 +58,7 @@ def _pages(spark):
     rows.append((51, None, None, None))
     rows.append((52, None, None, ""))
     rows.append((53, "b", None, "the vowel�"))
+    rows.append((None, None, 1, "no id"))
     return spark.createDataFrame(rows, "page_id long, book_id string, pno int, markdown string")
 
 
@@ -103,7 +104,7 @@ def test_clean_text():
 
 
 def test_templates_are_cut(spark):
-    rows = [(i, "h", f"<div>Home of the site | about</div>\ntext {i} <b>bold {i}</b>") for i in range(8)] + [(9, "g", "<div>Home of the site | about</div>"), (10, "h", None), (11, None, ""), (12, "h", "<table>" + "<tr><td>x" * 2000)]
+    rows = [(i, "h", f"<div>Home of the site | about</div>\ntext {i} <b>bold {i}</b>") for i in range(8)] + [(9, "g", "<div>Home of the site | about</div>"), (10, "h", None), (11, None, ""), (12, "h", "<table>" + "<tr><td>x" * 2000), (None, None, "<b>x</b>")]
     got = {r.id: r for r in markup.clean_texts(spark.createDataFrame(rows, "id long, host string, t string"), "id", "host", "t").collect()}
     assert got[3].clean == "text 3 bold 3" and got[3].n_template == 1 and got[3].kinds == ["html"]
     assert got[9].clean == "Home of the site | about" and got[10].clean is None and got[11].kinds == []
@@ -134,7 +135,7 @@ def test_ending(text, state):
 
 def test_cuts(spark):
     whole = "The short vowel precedes the consonant of all speakers in this language.\n\nvowel"
-    rows = [(i, "s", 1, whole) for i in range(6)] + [(10, "s", 1, "The short vowel pre"), (11, None, 1, "The short"), (12, "s", None, "The short vowel ends here."), (13, "s", 1, None), (14, "s", 1, ""), (15, None, 1, "The long\n\nThe")]
+    rows = [(i, "s", 1, whole) for i in range(6)] + [(10, "s", 1, "The short vowel pre"), (11, None, 1, "The short"), (12, "s", None, "The short vowel ends here."), (13, "s", 1, None), (14, "s", 1, ""), (15, None, 1, "The long\n\nThe"), (None, None, None, "The short vowel pre")]
     df = spark.createDataFrame(rows, "page_id long, source string, pno int, markdown string")
     tokens = spark.createDataFrame([(0, 18), (1, 18), (2, 18), (3, 18), (12, 90)], "page_id long, tokens long")
     got = {r.page_id: r.cut for r in cuts.cut_texts(df, "page_id", "markdown", "pno").collect()}
@@ -167,7 +168,7 @@ def test_mix(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_DOCS", 7)
     day = dt.datetime(2025, 1, 1)
     rows = [(i, f"vowel {'short ' * (i % 9)}", "a" if i % 3 else "b", None if i % 5 == 0 else "en", day) for i in range(200)]
-    rows += [(500, None, "a", "en", day), (501, "", "b", "en", day), (502, "left out", None, "en", day), (503, "left out", "z", "en", day), (1, "twice", "a", "en", day)]
+    rows += [(500, None, "a", "en", day), (501, "", "b", "en", day), (502, "left out", None, "en", day), (503, "left out", "z", "en", day), (1, "twice", "a", "en", day), (None, "no id", "a", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, rest timestamp")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 3), ("none", 0.1, 2)], "source string, target_share double, max_repeats int")
     out = mixing.mix(df, "doc_id", "text", targets, total=900)
@@ -175,7 +176,7 @@ def test_mix(spark, monkeypatch):
     assert max(r.copies for r in got if r.source == "b") <= 3 and max(r.copies for r in got if r.source == "a") == 1 and {r.source for r in got} == {"a", "b"}
     share = {r.source: r for r in mixing.shares(out, targets).collect()}
     assert abs(share["a"].share - 5 / 9) < 0.03 and share["none"].tokens == 0 and 900 - 40 <= sum(r.tokens for r in share.values()) <= 900
-    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(3), "doc_id", "text", targets, total=900).collect()), key=str)
+    assert {r.doc_id for r in got} - set(range(200)) <= {None, 500, 501} and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(df.repartition(3), "doc_id", "text", targets, total=900).collect()), key=str)
     assert mixing.mix(df.limit(0), "doc_id", "text", targets).count() == 0
 
 
