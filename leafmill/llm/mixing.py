@@ -188,8 +188,8 @@ def mix(docs: DataFrame, doc_id: str, text: str, targets: DataFrame, levels: Seq
 def shares(mixed: DataFrame, targets: DataFrame, source: str = "source") -> DataFrame:
     """(source, target_share, tokens, documents, most_copies, share): what each target reached; targets without text have 0."""
     got = mixed.groupBy(source).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
-    total = got.agg(F.sum("tokens").alias("total"))
-    both = targets.groupBy(source).agg(F.sum("target_share").alias("target_share")).join(got, source, "left").join(F.broadcast(total), F.lit(True))
+    total = got.agg(F.sum("tokens")).first()[0] or 0  # one number
+    both = targets.groupBy(source).agg(F.sum("target_share").alias("target_share")).join(got, source, "left").withColumn("total", F.lit(total))
     none = F.lit(0).cast("long")
     return both.select(
         source, "target_share", F.coalesce("tokens", none).alias("tokens"), F.coalesce("documents", none).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), F.when(F.col("total") > 0, F.coalesce("tokens", none) / F.col("total")).otherwise(0.0).alias("share")

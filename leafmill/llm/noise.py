@@ -290,10 +290,11 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["table_name", "rec_id", "line_no", "word"])
 
 
-def confusions(spark: SparkSession) -> DataFrame:
-    """(wrong, right, d): each confusion and the difference it makes to an anagram hash."""
+def confusions(spark: SparkSession) -> F.Column:
+    """The fixed confusions as one array literal of (wrong, right, d), d: the difference each makes to an anagram hash."""
     pairs = spark.createDataFrame([*LATIN_CONFUSIONS, *HAN_CONFUSIONS], "wrong string, right string")
-    return pairs.withColumn("d", anagram_hash(F.col("right")) - anagram_hash(F.col("wrong")))
+    rows = pairs.select("wrong", "right", (anagram_hash(F.col("right")) - anagram_hash(F.col("wrong"))).alias("d")).collect()
+    return F.array(*(F.struct(F.lit(r.wrong).alias("wrong"), F.lit(r.right).alias("right"), F.lit(r.d).alias("d")) for r in rows))
 
 
 def corrections(counts: DataFrame, more: DataFrame | None = None) -> DataFrame:
@@ -306,9 +307,9 @@ def corrections(counts: DataFrame, more: DataFrame | None = None) -> DataFrame:
     words = counts
     if more is not None:
         words = counts.union(more.select("word").distinct().join(counts, "word", "left_anti").select("word", F.lit(0).cast("long")))
-    c = F.broadcast(confusions(counts.sparkSession))
-    hashed = words.withColumn("h", anagram_hash(F.col("word")))
-    rare = hashed.join(c, F.expr("instr(word, wrong) > 0")).withColumn("h", F.col("h") + F.col("d"))
+    table = confusions(counts.sparkSession)
+    hashed = words.withColumn("c", F.explode(F.filter(table, lambda c: F.contains(F.col("word"), c["wrong"])))).select("word", "n", "c.*")
+    rare = hashed.withColumn("h", anagram_hash(F.col("word")) + F.col("d"))
     frequent = counts.where("n >= 1").select(F.col("word").alias("variant"), F.col("n").alias("variant_n"), anagram_hash(F.col("word")).alias("h"))
     found = rare.join(frequent, "h").where(
         f"variant_n >= greatest({LEAST}, {TIMES} * n) or (word rlike '[a-z][0-9!]|[0-9!][a-z]' and not variant rlike '[0-9!]' and variant_n > n)"
