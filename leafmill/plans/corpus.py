@@ -33,8 +33,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_new_in_batch(spark: SparkSession, d: str) -> DataFrame:
     """The batches of the last tenth against the messages stored before: what each really adds."""
     log, key = _messages(spark, d)
-    cut = log.agg((F.max("batch_no") * 0.9).cast("long").alias("cut"))
-    marked = log.crossJoin(F.broadcast(cut)).withColumn("late", F.col("batch_no") > F.col("cut"))
+    cut = log.agg((F.max("batch_no") * 0.9).cast("long")).first()[0]
+    marked = log.withColumn("late", F.col("batch_no") > F.lit(cut))
     stored = marked.where("not late").select(*(c.alias(n) for n, c in key.items()))
     return dedup.new_messages(marked.where("late"), stored, key, [F.col("received_at")], "delivery_id").select("delivery_id", "batch_no")
 
