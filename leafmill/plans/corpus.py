@@ -47,7 +47,30 @@ WITH m AS (SELECT delivery_id, batch_no, received_at, run_id, coalesce(pno_0base
            FROM usage_log WHERE coalesce(pno_0based, page_number - 1) IS NOT NULL)
 """
 
+_CHANGES = """
+WITH f AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY file_seq) AS ord, count(*) OVER (PARTITION BY stream_id) AS n FROM (SELECT DISTINCT stream_id, file_seq FROM usage_raw)),
+r AS (SELECT stream_id, ord, rec_uid, CAST(record AS JSON) AS j FROM usage_raw JOIN f USING (stream_id, file_seq) WHERE json_valid(record) AND json_type(CASE WHEN json_valid(record) THEN record ELSE 'null' END) = 'OBJECT'),
+k AS (SELECT stream_id, ord, rec_uid, j, unnest(json_keys(j)) AS field FROM r),
+v AS (SELECT stream_id, ord, rec_uid, field, CASE json_type(j, '$."' || field || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object'
+        WHEN 'DOUBLE' THEN 'number' WHEN 'NULL' THEN NULL ELSE 'integer' END AS kind, j ->> ('$."' || field || '"') AS txt FROM k),
+c AS (SELECT stream_id, ord, field, coalesce(list_sort(list(DISTINCT kind) FILTER (WHERE kind IS NOT NULL)), []) AS kinds FROM v GROUP BY ALL),
+gone AS (SELECT a.stream_id, a.ord + 1 AS ord, a.field, a.kinds FROM c a JOIN f ON f.stream_id = a.stream_id AND f.ord = a.ord + 1 WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.stream_id = a.stream_id AND b.ord = a.ord + 1 AND b.field = a.field)),
+come AS (SELECT a.stream_id, a.ord, a.field, a.kinds FROM c a WHERE a.ord > 1 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.stream_id = a.stream_id AND b.ord = a.ord - 1 AND b.field = a.field)),
+p AS (SELECT DISTINCT stream_id, ord, rec_uid FROM r WHERE rec_uid IS NOT NULL),
+x AS (SELECT g.stream_id, g.ord, g.field AS old, n.field AS new, g.kinds AS ok, n.kinds AS nk, bool_and(w.txt IS NOT NULL AND w.txt = o.txt) AS same
+      FROM gone g JOIN come n USING (stream_id, ord) JOIN v o ON o.stream_id = g.stream_id AND o.ord = g.ord - 1 AND o.field = g.field AND o.txt IS NOT NULL AND o.kind IS NOT NULL
+      JOIN p ON p.stream_id = g.stream_id AND p.ord = g.ord AND p.rec_uid = o.rec_uid
+      LEFT JOIN v w ON w.stream_id = g.stream_id AND w.ord = g.ord AND w.field = n.field AND w.rec_uid = o.rec_uid AND w.kind IS NOT NULL GROUP BY ALL),
+y AS (SELECT * FROM x WHERE same),
+z AS (SELECT stream_id, ord, 'renamed' AS change_kind, old AS field, new AS new_field FROM y
+  UNION SELECT stream_id, ord, 'removed', field, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.stream_id = g.stream_id AND y.ord = g.ord AND y.old = g.field)
+  UNION SELECT stream_id, ord, 'added', field, '' FROM come g WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.stream_id = g.stream_id AND y.ord = g.ord AND y.new = g.field)
+  UNION SELECT a.stream_id, a.ord, 'type_changed', a.field, '' FROM c a JOIN c b ON a.stream_id = b.stream_id AND a.ord = b.ord + 1 AND a.field = b.field WHERE a.kinds <> b.kinds AND len(a.kinds) > 0 AND len(b.kinds) > 0
+  UNION SELECT stream_id, ord, 'type_changed', new, '' FROM y WHERE ok <> nk AND len(ok) > 0 AND len(nk) > 0)
+SELECT z.stream_id, f.file_seq, change_kind, field, new_field FROM z JOIN f USING (stream_id, ord)"""
+
 ORACLE = {
+    "p2_found": _CHANGES,
     "p5_found": _MESSAGES
     + """, r AS (SELECT delivery_id, row_number() OVER (PARTITION BY run_id, page, attempt, st ORDER BY received_at, delivery_id) AS n FROM m)
 SELECT delivery_id FROM r WHERE n > 1""",
