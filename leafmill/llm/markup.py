@@ -29,6 +29,8 @@ _TAGS = (
 ).split()
 # fixed values: elements that never have content
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# fixed values: tables, code, formulas and marked words; they stay in the clean text however often they recur
+_STAYS = "caption code col colgroup display emphasis fence inline pre quotes strike strong table tbody td tfoot th thead tr b em i s sub sup u".split()
 _TAG = re.compile(rf"<(/?)({'|'.join(sorted(_TAGS, key=len, reverse=True))})((?:\s[^<>]*|/)?)>", re.I)
 #: names that are also written for letters, in angle brackets: alone, without an end tag or attributes, they are no markup
 _LETTERS = frozenset("a b i p q s u th dd dt tt rt rp li tr td em".split())
@@ -243,10 +245,10 @@ def clean_text(text: str, cut: list[tuple[int, int]] = ()) -> str:
 def clean_texts(df: DataFrame, rec: str, host: str, text: str) -> DataFrame:
     """(rec, kinds, n_template, clean): clean text of each row, without the templates of its host.
 
-    kinds: sorted kinds of markup found. Null texts stay null with no kinds; empty ones stay empty.
+    A recurring part of a table, code or formula is content and stays; only a template around it takes it along. kinds: sorted kinds of markup found. Null texts stay null with no kinds; empty ones stay empty.
     """
     rows = element_rows(df, rec, host, text)
-    cut = rows.join(template_subtrees(rows), ["host", "subtree"]).groupBy("rec_id").agg(F.collect_set(F.struct("start", "stop")).alias("cut"))
+    cut = rows.where(~F.col("name").isin(_STAYS)).join(template_subtrees(rows), ["host", "subtree"]).groupBy("rec_id").agg(F.collect_set(F.struct("start", "stop")).alias("cut"))
     found = rows.groupBy("rec_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).join(cut, "rec_id", "left")
 
     @F.pandas_udf("string")

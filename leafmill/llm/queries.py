@@ -37,18 +37,22 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.variant_classes(table(spark, d, "notation_case"), "case_id", "input")
 
 
+_MARKED_UP = [("page_markdown", "page_id", "markdown"), ("layout_block", "block_id", "table_body")]
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = [("page_markdown", "page_id", "markdown"), ("layout_block", "block_id", "table_body")]
-    a, b = (markup.kinds(markup.element_rows(table(spark, d, t), i, "book_id", c)).select(F.lit(t).alias("table_name"), "rec_id", "kind") for t, i, c in parts)
+    a, b = (markup.kinds(markup.element_rows(table(spark, d, t), i, "book_id", c)).select(F.lit(t).alias("table_name"), "rec_id", "kind") for t, i, c in _MARKED_UP)
     return a.union(b)
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.clean_texts(table(spark, d, "page_markdown"), "page_id", "book_id", "markdown")
+    a, b = (markup.clean_texts(table(spark, d, t), i, "book_id", c).select(F.lit(t).alias("table_name"), F.col(i).alias("rec_id"), "kinds", "n_template", "clean") for t, i, c in _MARKED_UP)
+    return a.union(b)
 
 
 def p4_templates(spark: SparkSession, d: str) -> DataFrame:
-    return markup.template_subtrees(markup.element_rows(table(spark, d, "page_markdown"), "page_id", "book_id", "markdown"))
+    a, b = (markup.template_subtrees(markup.element_rows(table(spark, d, t), i, "book_id", c)).select(F.lit(t).alias("table_name"), "host", "subtree", "n_pages") for t, i, c in _MARKED_UP)
+    return a.union(b)
 
 
 def _cuts(spark: SparkSession, d: str) -> DataFrame:

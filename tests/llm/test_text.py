@@ -5,6 +5,7 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.llm import cuts, lookalike, markup, mixing, noise, queries
 
@@ -110,6 +111,22 @@ def test_templates_are_cut(spark):
     assert got[9].clean == "Home of the site | about" and got[10].clean is None and got[11].kinds == []
 
 
+def test_recurring_cells_and_formulas_stay(spark):
+    body = "<div>Home of the site | about</div><table><tr><td>affricate</td><td>$F_{2}$ and $$x_1 = y_1$$</td></tr></table>"
+    got = markup.clean_texts(spark.createDataFrame([(i, "h", body) for i in range(8)], "id long, host string, t string"), "id", "host", "t").collect()
+    assert {r.clean for r in got} == {"affricate | $F_{2}$ and $$x_1 = y_1$$"} and {r.n_template for r in got} == {1}
+
+
+def test_both_tables_are_cleaned(spark, data):
+    got = queries.p4_clean(spark, data)
+    rows = {r.table_name: (r.n, r.texts) for r in got.groupBy("table_name").agg(F.count("*").alias("n"), F.count("clean").alias("texts")).collect()}
+    for t, i, c in (("page_markdown", "page_id", "markdown"), ("layout_block", "block_id", "table_body")):
+        df = spark.read.parquet(f"{data}/{t}.parquet")
+        assert rows[t] == (df.count(), df.where(f"{c} is not null").count()), t
+    assert not got.where("table_name = 'layout_block' and clean rlike '(?i)</?t[dhr]\\\\b'").count()
+    assert queries.p4_templates(spark, data).columns == ["table_name", "host", "subtree", "n_pages"]
+
+
 ODD = ["<td>x" * 20000, "{{a " * 20000, "[[" * 20000, "*a " * 20000, "`a" * 20001, "\\begin{a}" * 9000, "<code>" * 9000, "\\(a" * 9000, "-" * 50000, "| " + "a" * 100000, "- " * 30000, " " * 100000, "<a" + " " * 100000, "![" * 20000, "\u0303" * 50000]
 
 
