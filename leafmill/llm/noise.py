@@ -387,7 +387,7 @@ def _repaired(text: str, defects) -> str:
     for d in defects:
         if d["defect"] == "misread" and d["variant"]:
             fixes.setdefault(d["line_no"], []).append((d["word"], d["variant"]))
-    out, open_ = [], None
+    out, open_, held = [], None, []
     for i, raw in enumerate(text.replace("\r\n", "\n").replace("\r", "\n").split("\n"), 1):
         line = raw.rstrip()
         if i in drop:
@@ -403,16 +403,18 @@ def _repaired(text: str, defects) -> str:
         else:
             out.append(line)
             open_ = "text" if not re.match(r"\s*([#|`~$\\{<=]|[-*]\s)", line) else None
-        for wrong, right in fixes.get(i, []):  # in the paragraph, as a split word is whole only there
-            out[-1] = re.sub(re.escape(wrong), lambda m, r=right: r if m[0].islower() or not m[0].isascii() else r.upper() if m[0].isupper() and len(m[0]) > 1 else r.capitalize(), out[-1], flags=re.I)
+        for wrong, right in [*held, *fixes.get(i, [])]:  # in the paragraph, as a split word is whole only there
+            whole = rf"(?<![\w{LOST}]){re.escape(wrong)}(?![\w{LOST}])" if wrong.isascii() else re.escape(wrong)
+            out[-1] = re.sub(whole, lambda m, r=right: r if m[0].islower() or not m[0].isascii() else r.upper() if m[0].isupper() and len(m[0]) > 1 else r.capitalize(), out[-1], flags=re.I)
+        held = fixes.get(i, []) if i in joins else []  # again once the word is whole
         if i in joins and out:
             out[-1] = re.sub(rf"[{_HYPHENS}]\s*$", "", out[-1])
             open_ = "split"
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
-def repaired_pages(df: DataFrame, table: str, rec: str, text: str, defects: DataFrame) -> DataFrame:
-    """(rec, clean, n_defects): page texts without their noisy lines, words rejoined and corrected, in paragraphs.
+def repaired_pages(df: DataFrame, table: str, rec: str, text: str, defects: DataFrame, page: list[str] = ()) -> DataFrame:
+    """(rec, page, clean, n_defects): page texts without their noisy lines, words rejoined and corrected, in paragraphs.
 
     Null texts stay null. Lost characters without a known variant stay as they are printed.
     """
@@ -422,5 +424,60 @@ def repaired_pages(df: DataFrame, table: str, rec: str, text: str, defects: Data
     def repair(s: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else _repaired(t, [] if x is None else list(x)) for t, x in zip(s, d)], dtype=object)
 
-    both = df.select(rec, text).join(per_page, rec, "left")
-    return both.select(rec, repair(text, "d").alias("clean"), F.coalesce(F.size("d"), F.lit(0)).alias("n_defects"))
+    both = df.select(rec, *page, text).join(per_page, rec, "left")
+    return both.select(rec, *page, repair(text, "d").alias("clean"), F.coalesce(F.size("d"), F.lit(0)).alias("n_defects"))
+
+
+#: a line that ends so far from the right edge of its column (shares of its width) ends its paragraph: after a full stop, and at any rate
+SHORT, SHORTER = 0.02, 0.15
+_STOP = re.compile(r"[.!?。！？…][)\]”’\"'）」』]*$")
+
+
+def _page_of_lines(lines) -> str:
+    """The clean paragraphs of a page's lines, each with its own defects."""
+    kinds = [{d["defect"] for d in x["d"]} if x["d"] is not None else set() for x in lines]
+    body = [(x, k) for x, k in zip(lines, kinds) if not k & {"running", "pagenum"} and visible(x["text"]).strip()]
+    edge: dict = {}
+    for x, _ in body:
+        if x["x0"] is not None and x["x1"] is not None and x["cell_row"] is None:
+            a, z = edge.get(x["column_no"], (x["x0"], x["x1"]))
+            edge[x["column_no"]] = min(a, x["x0"]), max(z, x["x1"])
+    out, defects, last, split = [], [], None, False
+    for x, k in body:
+        if last is not None and not split and _parted(last, x, edge):
+            out.append("")
+        out.append(re.sub(r"[\r\n]+", " ", x["text"]))
+        defects.extend({"line_no": len(out), "defect": d["defect"], "word": d["word"], "variant": d["variant"]} for d in (x["d"] if x["d"] is not None else ()))
+        last, split = x, "hyphen" in k
+    return _repaired("\n".join(out), defects)
+
+
+def _parted(a, b, edge: dict) -> bool:
+    """Whether a paragraph ends between two neighbouring lines, by their places. Lines without places run on."""
+    if a["cell_row"] is not None or b["cell_row"] is not None:
+        return True
+    if None not in (a["y0"], a["y1"], b["y0"]) and a["column_no"] == b["column_no"] and b["y0"] - a["y1"] > a["y1"] - a["y0"]:
+        return True
+    left, right = edge.get(a["column_no"], (0.0, 0.0))
+    if a["x1"] is None or right <= left:
+        return False
+    short = (right - a["x1"]) / (right - left)
+    return short > SHORTER or (short > SHORT and bool(_STOP.search(a["text"].rstrip())))
+
+
+def repaired_lines(df: DataFrame, table: str, rec: str, text: str, page: list[str], order: list[str], defects: DataFrame) -> DataFrame:
+    """(rec, page, clean, n_defects): the lines of each page in `order`, repaired like `repaired_pages`; rec is the smallest of the page.
+
+    Cells, gaps and short lines end paragraphs. Lines without a text or id are left out, as in `lines_of_table`.
+    """
+    per_line = defects.where(F.col("table_name") == table).groupBy(F.col("rec_id").alias(rec)).agg(F.collect_list(F.struct("defect", "word", "variant")).alias("d"))
+    few = df.where(F.col(text).isNotNull() & F.col(rec).isNotNull()).select(*dict.fromkeys([rec, *page, *order, "x0", "x1", "y0", "y1", "column_no", "cell_row"]), F.col(text).alias("__text"))
+    line = F.struct(*order, rec, F.col("__text").alias("text"), "x0", "x1", "y0", "y1", "column_no", "cell_row", "d")
+    # sorted by place alone: the id makes it unique, so the rest is never compared
+    pages = few.join(per_line, rec, "left").groupBy(*page).agg(F.min(rec).alias(rec), F.sort_array(F.collect_list(line)).alias("g"), F.sum(F.coalesce(F.size("d"), F.lit(0))).cast("int").alias("n_defects"))
+
+    @F.pandas_udf("string")
+    def repair(s: pd.Series) -> pd.Series:
+        return pd.Series([_page_of_lines(g) for g in s], dtype=object)
+
+    return pages.select(rec, *page, repair("g").alias("clean"), "n_defects")

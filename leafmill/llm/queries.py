@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import cuts, leaks, lookalike, markup, mixing, noise, spans
 from leafmill.operators.dedup import page_message_key
-from leafmill.runtime import table
+from leafmill.runtime import materialize, table
 
 
 def _noisy(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    return noise.repaired_pages(table(spark, d, "page_markdown"), "page_markdown", "page_id", "markdown", _noisy(spark, d))
+    """Page texts (rec_id: page_id) and the embedded lines of each run, book and page (rec_id: their smallest line_key)."""
+    pages, lines, page = table(spark, d, "page_markdown"), table(spark, d, "geom_line"), ["run_id", "book_id", "pno"]
+    found = materialize(_noisy(spark, d), "noisy")
+    texts = noise.repaired_pages(pages, "page_markdown", "page_id", "markdown", found, page)
+    embedded = noise.repaired_lines(lines, "geom_line", "line_key", "text", page, ["line_order"], found)
+    out = ((texts, "page_markdown", "page_id"), (embedded, "geom_line", "line_key"))
+    a, b = (df.select(F.lit(t).alias("table_name"), F.col(i).alias("rec_id"), *page, "clean", "n_defects") for df, t, i in out)
+    return a.union(b)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -79,6 +79,26 @@ def test_noise(spark):
     assert noise.noisy_lines([noise.lines_of_pages(empty, "p", "page_id", "markdown")], titles).count() == 0
 
 
+def test_embedded_lines_become_paragraphs(spark):
+    texts = ["THE DENTAL VOWEL", "The listeners keep the dcnso-", "nant and the vowel of", "all speakers.", "The plane tbe", "F1", "204"]
+    rows = [(10 - k, "r", "b", 1, k, t, 90.0, 910.0 if k in (1, 2) else 400.0, 20.0 + 30 * k, 40.0 + 30 * k, 0, k - 5 if k > 4 else None) for k, t in enumerate(texts)]
+    rows += [(20, None, "b", None, 0, "the vowel", None, None, None, None, None, None), (21, "r", "b", 2, 0, None, None, None, None, None, 0, None)]
+    lines = spark.createDataFrame(rows, "line_key long, run_id string, book_id string, pno int, line_order int, text string, x0 double, x1 double, y0 double, y1 double, column_no int, cell_row int")
+    found = spark.createDataFrame([("g", 10, "running", None, None), ("g", 9, "hyphen", "dcnsonant", None), ("g", 9, "misread", "dcnsonant", "consonant"), ("g", 6, "misread", "tbe", "the"), ("g", 6, "misread", "lane", "lone"), ("p", 8, "running", None, None)], "table_name string, rec_id long, defect string, word string, variant string")
+    got = {(r.line_key, r.run_id, r.pno): (r.clean, r.n_defects) for r in noise.repaired_lines(lines, "g", "line_key", "text", ["run_id", "book_id", "pno"], ["line_order"], found).collect()}
+    assert got == {(4, "r", 1): ("The listeners keep the consonant and the vowel of all speakers.\n\nThe plane the\n\nF1\n\n204", 5), (20, None, None): ("the vowel", 0)}
+
+
+def test_both_tables_are_repaired(spark, data):
+    got = queries.p1_clean(spark, data)
+    pages = {(r.table_name, r.run_id, r.book_id, r.pno) for r in got.select("table_name", "run_id", "book_id", "pno").collect()}
+    for t in ("page_markdown", "geom_line"):
+        want = {(t, *r) for r in spark.read.parquet(f"{data}/{t}.parquet").select("run_id", "book_id", "pno").distinct().collect()}
+        assert {p for p in pages if p[0] == t} == want
+    lines = got.where("table_name = 'geom_line'")
+    assert lines.count() == lines.select("run_id", "book_id", "pno").distinct().count() and lines.agg(F.sum("n_defects")).first()[0] > 0
+
+
 # ---- markup
 
 MARKUP = [
