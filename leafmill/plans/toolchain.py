@@ -264,6 +264,12 @@ def t19_page_like(s: SparkSession, d: str) -> DataFrame:
     return g.select("line_key", X.is_page_like(F.col("text")).cast("int").alias("page_like"))
 
 
+@query()
+def t19_page_like_all(s: SparkSession, d: str) -> DataFrame:
+    """Every line, those with full-width digits too, which the SQL of `t19_page_like` leaves out."""
+    return table(s, d, "geom_line").select("line_key", X.is_page_like(F.col("text")).cast("int").alias("page_like"))
+
+
 @query("SELECT book_id, CASE WHEN source_name IS NULL THEN 'book' ELSE regexp_replace(regexp_replace(source_name, '\\.[^.]*$', ''), '[<>:\"/\\\\|?*]', '_', 'g') END AS stem FROM book_record")
 def t28_safe_stem(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "book_record").select("book_id", X.safe_stem(F.col("source_name")).alias("stem"))
