@@ -384,8 +384,7 @@ def j8_rows_of_blocks(s: SparkSession, d: str) -> DataFrame:
 @query()
 def j3_align_pages(s: SparkSession, d: str) -> DataFrame:
     pages = table(s, d, "page_markdown").where("markdown is not null")
-    keys = table(s, d, "geom_line").select(*G.PAGE).distinct()
-    a = A.align_pages(pages.join(keys, G.PAGE, "left_semi"), "page_id", "markdown", table(s, d, "geom_line"), "line_key")
+    a = A.align_pages(pages, "page_id", "markdown", table(s, d, "geom_line"), "line_key")
     return A.alignment_metrics(a, "page_id")
 
 

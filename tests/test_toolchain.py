@@ -329,6 +329,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.table("once").count() == len({k for k in keys if k[1] is not None})
 
 
+def test_pages_without_lines_are_aligned_too(spark, data):
+    got = {r.page_id: r for r in TC.j3_align_pages(spark, data).collect()}
+    pages = spark.read.parquet(f"{data}/page_markdown.parquet").where("markdown is not null")
+    bare = pages.join(spark.read.parquet(f"{data}/geom_line.parquet"), ["run_id", "book_id", "pno"], "left_anti").select("page_id").collect()
+    assert bare and set(got) == {r.page_id for r in pages.select("page_id").collect()}
+    assert all(got[r.page_id].aligned == 0 and got[r.page_id].aligned_coverage == (0.0 if got[r.page_id].total_chars else 1.0) for r in bare)
+
+
 def test_page_like_of_every_line(spark, tmp_path):
     like = re.compile(r"(?i)[·.]\s*\d{1,4}\s*[·.]|[-–—]\s*\d{1,4}\s*[-–—]|\d{1,4}|PAGE\s*\d{1,4}|第\s*\d{1,4}\s*页|页\s*\d{1,4}")
     texts = ["· ８４ ·", "第 ５４ 页", "１２３４５", "12", "图 ８", "", None]
