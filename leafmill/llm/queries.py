@@ -41,7 +41,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.variant_classes(table(spark, d, "notation_case"), "case_id", "input")
+    parts = [("notation_case", "case_id", "input"), ("page_markdown", "page_id", "markdown")]
+    a, b = (lookalike.variant_classes(table(spark, d, t), i, c).select(F.lit(t).alias("table_name"), F.col(i).alias("rec_id"), "class_id", "spellings") for t, i, c in parts)
+    return a.union(b)
 
 
 _MARKED_UP = [("page_markdown", "page_id", "markdown"), ("layout_block", "block_id", "table_body")]

@@ -41,6 +41,12 @@ def test_pairs_of_variants(spark):
     assert lookalike.same_look_pairs(df.limit(0), "id", "t").count() == 0
 
 
+def test_classes_of_both_tables(spark, data):
+    got = {r.table_name: r.n for r in queries.p3_classes(spark, data).groupBy("table_name").agg(F.count_distinct("rec_id").alias("n")).collect()}
+    for t, c in (("notation_case", "input"), ("page_markdown", "markdown")):
+        assert got[t] == spark.read.parquet(f"{data}/{t}.parquet").where(f"{c} is not null").count(), t
+
+
 # ---- noise
 
 
