@@ -85,6 +85,43 @@ def test_noise(spark):
     assert noise.noisy_lines([noise.lines_of_pages(empty, "p", "page_id", "markdown")], titles).count() == 0
 
 
+_BODY = [
+    "the speech of the dental vowel and the nasal consonant", "the mouth and the tongue keep the acoustic breath", "they eat with the head", "the listener may hear the modern acoustic device", "the nasal vowel of the speech", "the breath of the dental consonant and the tongue",
+]
+
+
+def _corpus(spark, *lines):
+    rows = [(i, "b", i, "\n".join(["x", *_BODY, "y"])) for i in range(12)] + [(90 + i, "b", 90 + i, f"x\n{line}\ny") for i, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "page_id long, book_id string, pno int, markdown string")
+    titles = spark.createDataFrame([("c", "The Nasal Stop of Marble"), ("d", None)], "book_id string, title string")
+    found = noise.noisy_lines([noise.lines_of_pages(df, "p", "page_id", "markdown")], titles).where("rec_id >= 90")
+    return df, found
+
+
+def test_real_words_and_lone_headings_stay(spark):
+    df, found = _corpus(spark, "the cat sat on a bead", "The Nasal Drum of Marble", "The Nasal Stop of Marble")
+    assert found.count() == 0
+    lone = spark.createDataFrame([(1, "z", 0, "The Nasal Stop of Marble\n\nthe vowel\n\nthe end.")], df.schema)
+    titles = spark.createDataFrame([("c", "The Dental Stop of Marble")], "book_id string, title string")
+    assert noise.noisy_lines([noise.lines_of_pages(lone, "p", "page_id", "markdown")], titles).count() == 0
+
+
+def test_common_misreadings_are_found(spark):
+    wrong = {"tlie": "the", "voweI": "vowel", "sp3ech": "speech", "6reath": "breath", "acoustlc": "acoustic", "dentai": "dental", "nasaI": "nasal", "consoriant": "consonant", "speecb": "speech", "rnouth": "mouth", "t0ngue": "tongue", "tonque": "tongue", "modem": "modern", "devlce": "device", "lisfener": "listener", "dcvice": "device", "dentaI": "dental"}
+    lines = ["the speech of tlie dental vowel", *(f"the {w} of the speech" for w in list(wrong)[1:])]
+    _, found = _corpus(spark, *lines)
+    got = {r.word: r.variant for r in found.where("defect = 'misread'").collect()}
+    assert sum(got.get(w.lower()) == v for w, v in wrong.items()) >= 15, got
+
+
+def test_heads_of_any_kind_that_recur(spark):
+    rows = [(i, "b", i, f"Tone: an Outline\n\nthe vowel {i} of speech.\n\nmore {i}.") for i in range(6)] + [(9, "b", 9, "Tone: the Rest\n\nthe vowel.\n\nmore.")]
+    df = spark.createDataFrame(rows, "page_id long, book_id string, pno int, markdown string")
+    titles = spark.createDataFrame([("c", "The Dental Stop of Marble")], "book_id string, title string")
+    got = {(r.rec_id, r.line_no, r.defect) for r in noise.noisy_lines([noise.lines_of_pages(df, "p", "page_id", "markdown")], titles).collect()}
+    assert got == {(i, 1, "running") for i in range(6)}
+
+
 def test_embedded_lines_become_paragraphs(spark):
     texts = ["THE DENTAL VOWEL", "The listeners keep the dcnso-", "nant and the vowel of", "all speakers.", "The plane tbe", "F1", "204"]
     rows = [(10 - k, "r", "b", 1, k, t, 90.0, 910.0 if k in (1, 2) else 400.0, 20.0 + 30 * k, 40.0 + 30 * k, 0, k - 5 if k > 4 else None) for k, t in enumerate(texts)]
