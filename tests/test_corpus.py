@@ -131,3 +131,43 @@ def F_received():
     from pyspark.sql import functions as F
 
     return F.col("received_at")
+
+
+def test_names_given_back_and_forth(spark):
+    """a -> b -> c -> a in one stream is one column; another stream has a and b at once."""
+    rows = [("s", k + 1, "f", 1, "u", '{"%s":7}' % n) for k, n in enumerate("abcab")]
+    rows += [("t", 1, "f", 1, "u", '{"a":1,"b":2,"A":3}'), ("t", 2, "f", 1, "u", '{"a":1,"b":2,"A":3}')]
+    raw = spark.createDataFrame(rows, RAW)
+    alias = {(r.stream_id, r.field, r.first_seq): r.name for r in drift.aliases(raw).collect()}
+    assert {alias["s", n, k + 1] for k, n in enumerate("abcab")} == {"a"} and alias["t", "b", 1] == "b"
+    got = drift.consistent_table(raw)
+    assert sorted(got.columns[4:]) == ["A", "a__2", "b"]
+    assert sorted((r.stream_id, r.file_seq, r.a__2, r.b, r.A) for r in got.collect()) == [*(("s", k, 7, None, None) for k in range(1, 6)), ("t", 1, 1, 2, 3), ("t", 2, 1, 2, 3)]
+
+
+def test_a_chain_of_many_renames(spark):
+    n = 70
+    rows = [("s", k, "f", 1, "u", '{"f%d":"v"}' % (n - k)) for k in range(n)]
+    alias = drift.aliases(spark.createDataFrame(rows, RAW))
+    assert {r.name for r in alias.collect()} == {f"f{n}"}
+
+
+def test_an_old_name_given_anew(spark):
+    """a goes on as b while a new a comes: two columns; both keep their values."""
+    rows = [("s", 1, "f", 1, "u", '{"a":5}'), ("s", 2, "f", 1, "u", '{"b":5}'), ("s", 3, "f", 1, "u", '{"b":5,"a":"x"}'), ("s", 3, "f", 2, None, '{"b":null,"a":null}')]
+    raw = spark.createDataFrame(rows, RAW)
+    assert {(r.field, r.first_seq, r.name) for r in drift.aliases(raw).collect()} == {("a", 1, "a"), ("b", 2, "a"), ("a", 3, "a__2")}
+    got = {(r.file_seq, r.line_no): (r.a, r.a__2) for r in drift.consistent_table(raw).collect()}
+    assert got == {(1, 1): (5, None), (2, 1): (5, None), (3, 1): (5, "x"), (3, 2): (None, None)}
+
+
+def test_catalogue(spark):
+    rows = [("s", 1, "f", 1, "u", '{"a":1}'), ("s", 2, "f", 1, "u", '{"a":1.5}'), ("s", 4, "f", 1, "u", '{"z":null}'), ("s", 5, "f", 1, "u", '{"a":"x"}'), ("s", 5, "f", 2, "w", '{"a":2}')]
+    got = {tuple(r) for r in drift.catalogue(spark.createDataFrame(rows, RAW)).collect()}
+    assert got == {("s", "a", "integer", 1, 1), ("s", "a", "number", 2, 2), ("s", "z", "", 4, 4), ("s", "a", "integer string", 5, 5)}
+
+
+def test_numbers_as_written(spark):
+    rows = [("s", 1, "f", 1, "u", '{"a":200.0,"b":7,"c":12345678901234567890123,"d":1e2,"e":1.50,"f":-0,"g":{"y":1,"x":2}}')]
+    got = {r.field: (r.kind, r.text) for r in drift.field_rows(spark.createDataFrame(rows, RAW)).collect()}
+    assert got == {"a": ("number", "200.0"), "b": ("integer", "7"), "c": ("integer", "12345678901234567890123"), "d": ("number", "100.0"), "e": ("number", "1.5"), "f": ("integer", "0"), "g": ("object", '{"y":1,"x":2}')}
