@@ -1,9 +1,10 @@
 """Markup residue: which kinds a text holds, and its clean text without templates.
 
-Every construct of a text is an *element* with its kind (html, markdown, wiki, latex), its place, and the hash of its
-whole subtree (an HTML element from its opening to its closing tag, a template, an environment, a heading, ...). The
-hashes are counted per host over distinct pages in Spark: an element that recurs on many pages of its host belongs to
-the site's template and is cut out of the clean text. Headings, lists, tables, code and formulas stay.
+Every construct of a text is an *element* with its kind (html, markdown, wiki, latex) and its place (an HTML element from its
+opening to its closing tag, a template, an environment, a heading, ...). Elements that lie in one another are a tree; each has
+the hash of its subtree: its name, its words and its children's hashes in their order, without attributes and blanks. The hashes are counted per host over distinct pages in Spark: an element that recurs on many pages of its
+host belongs to the site's template. Templates are cut first; what they and the rest consist of is told apart, and the
+clean text is that of the rest. Headings, lists, tables, code and formulas stay.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ import html
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm import rolling
 from leafmill.llm.lookalike import visible
+from leafmill.runtime import materialize
 
 # fixed values: element names of HTML
 _TAGS = (
@@ -127,41 +128,93 @@ def elements(text: str) -> list[tuple[str, str, int, int]]:
     return found
 
 
-ELEMENT = "rec_id long, host string, kind string, name string, start int, stop int, subtree long"
+_ANY_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--|-->")
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for rec, host, text in zip(b["rec_id"], b["host"], b["text"]):
-            text = visible(text)
-            found = elements(text)
-            a, z = (np.array([e[i] for e in found], dtype=np.int64) for i in (2, 3))
-            subtrees = rolling.span_hashes(rolling.code_points(text), a, z).view(np.int64).tolist() if found else []
-            rows.extend((rec, host, *e, h) for e, h in zip(found, subtrees))
-        yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in ELEMENT.split(", ")])
+def subtree_hashes(text: str, found: list[tuple[str, str, int, int]]) -> list[int]:
+    """The hash of each element's subtree, in the order of `found`; linear in the text and the elements.
 
-
-def element_rows(df: DataFrame, rec: str, host: str, text: str) -> DataFrame:
+    An element lies in the innermost one that holds it whole; those that overlap are neighbours.
+    """
+    out = [0] * len(found)
+    order = sorted(range(len(found)), key=lambda i: (found[i][2], -found[i][3]))
+    open_: list[list] = []  # [element, place so far, parts]
+
+    def words(a: int, z: int) -> str:
+        return " ".join(_ANY_TAG.sub(" ", text[a:z]).split())
+
+    def close() -> None:
+        i, at, parts = open_.pop()
+        kind, name, a, z = found[i]
+        h = xxhash.xxh64_intdigest("\0".join((kind, name, *parts, words(at, z))).encode("utf-8", "surrogatepass"))
+        out[i] = h - (1 << 64) if h >> 63 else h
+        if open_:
+            up = open_[-1]
+            if z <= found[up[0]][3]:
+                up[2] += [words(up[1], a), str(h)]
+                up[1] = max(up[1], z)
+
+    for i in order:
+        while open_ and found[open_[-1][0]][3] < found[i][3]:
+            close()
+        open_.append([i, found[i][2], []])
+    while open_:
+        close()
+    return out
+
+
+ELEMENT = "table_name string, rec_id long, host string, kind string, name string, start int, stop int, subtree long"
+
+
+def _parse(table: str):
+    names = [c.strip().split(" ")[0] for c in ELEMENT.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for rec, host, text in zip(b["rec_id"], b["host"], b["text"]):
+                text = visible(text)
+                found = elements(text)
+                rows.extend((table, rec, host, *e, h) for e, h in zip(found, subtree_hashes(text, found)))
+                if len(rows) >= 20_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    return run
+
+
+def element_rows(df: DataFrame, rec: str, host: str, text: str, table: str = "") -> DataFrame:
     """The elements of every text that is not null and has an id; places are those in its `visible` form."""
     few = df.where(F.col(text).isNotNull() & F.col(rec).isNotNull()).select(F.col(rec).alias("rec_id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text"))
-    return few.mapInPandas(_parse, ELEMENT)
+    return few.mapInPandas(_parse(table), ELEMENT)
 
 
 def template_subtrees(rows: DataFrame, pages: int = 5, share: float = 0.02) -> DataFrame:
-    """(host, subtree, n_pages): element subtrees on at least `pages` pages and `share` of the marked-up pages of their host.
+    """(table_name, host, subtree, n_pages): element subtrees on at least `pages` pages and `share` of the marked-up pages of their host.
 
     Entities and bare line elements are never templates. Null hosts have none.
     """
     whole = rows.where("host is not null and not (name in ('entity', 'br', 'hr', 'rule', 'environment', 'command') or stop - start < 12)")
-    n = whole.groupBy("host", "subtree").agg(F.count_distinct("rec_id").alias("n_pages")).where(F.col("n_pages") >= pages)
-    total = rows.where("host is not null").groupBy("host").agg(F.count_distinct("rec_id").alias("of"))
-    return n.join(total, "host").where(F.col("n_pages") >= F.col("of") * share).select("host", "subtree", "n_pages")
+    n = whole.groupBy("table_name", "host", "subtree").agg(F.count_distinct("rec_id").alias("n_pages")).where(F.col("n_pages") >= pages)
+    total = rows.where("host is not null").groupBy("table_name", "host").agg(F.count_distinct("rec_id").alias("of"))
+    return n.join(total, ["table_name", "host"]).where(F.col("n_pages") >= F.col("of") * share).select("table_name", "host", "subtree", "n_pages")
+
+
+def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cut, rest) of materialised element rows: elements that are templates of their host, and all others."""
+    key = ["table_name", "host", "subtree"]
+    templates = materialize(template_subtrees(rows).select(*key), "templates")
+    cut = rows.where(~F.col("name").isin(_STAYS)).join(templates, key, "left_semi")
+    rest = rows.where(F.col("name").isin(_STAYS)).unionByName(rows.where(~F.col("name").isin(_STAYS)).join(templates, key, "left_anti"))
+    return cut, rest
 
 
 def kinds(rows: DataFrame) -> DataFrame:
-    """(rec_id, kind): the kinds of markup of each text, from its elements."""
-    return rows.select("rec_id", "kind").distinct()
+    """(table_name, rec_id, kind, own): the kinds of markup of each text; own is false where only templates of its host bear it."""
+    cut, rest = parted(rows)
+    both = rest.select("table_name", "rec_id", "kind", F.lit(True).alias("own")).union(cut.select("table_name", "rec_id", "kind", F.lit(False)))
+    return both.groupBy("table_name", "rec_id", "kind").agg(F.bool_or("own").alias("own"))
 
 
 # ---- clean text
@@ -247,8 +300,8 @@ def clean_texts(df: DataFrame, rec: str, host: str, text: str) -> DataFrame:
 
     A recurring part of a table, code or formula is content and stays; only a template around it takes it along. kinds: sorted kinds of markup found. Null texts stay null with no kinds; empty ones stay empty.
     """
-    rows = element_rows(df, rec, host, text)
-    cut = rows.where(~F.col("name").isin(_STAYS)).join(template_subtrees(rows), ["host", "subtree"]).groupBy("rec_id").agg(F.collect_set(F.struct("start", "stop")).alias("cut"))
+    rows = materialize(element_rows(df, rec, host, text), "elements")
+    cut = parted(rows)[0].groupBy("rec_id").agg(F.collect_set(F.struct("start", "stop")).alias("cut"))
     found = rows.groupBy("rec_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).join(cut, "rec_id", "left")
 
     @F.pandas_udf("string")
