@@ -1,10 +1,10 @@
 """Texts that lost their end.
 
-Evidence, each enough by itself: a sign of the cut after the last word; an open construct (bracket, formula, table,
-environment); a last word that is no known word but a proper prefix of known ones, by the trie of the corpus vocabulary;
-a last paragraph that is prose without a stop; a short last paragraph that the corpus nearly always carries on, by the
-trie of its paragraph beginnings; and a message that reports more tokens than the text that arrived has. The
-vocabulary tries are tables of (prefix, count), built and asked by joins.
+First asked is the trie of the corpus vocabulary: a last word that is no known word but a proper prefix of known ones, and
+last tokens that go on everywhere else and end no paragraph. Length evidence goes with it: a short last paragraph that the
+corpus nearly always carries on, and a message that reports more tokens than the text that arrived has. What shows without a
+trie supports it: a sign of the cut after the last word, an open construct (bracket, formula, table, environment), prose
+without a stop. The tries are tables of (prefix, count), built and asked by joins.
 """
 
 from __future__ import annotations
@@ -40,6 +40,9 @@ _STOP = re.compile(r"""[。！？.!?]["'”’）)\]】》*_~]*(?:\}\}|</[a-zA-Z
 _WORD = re.compile(r"[A-Za-z]+")
 _CLOSERS = re.compile(r"(?i)</(?:table|tr|ul|ol|dl|h[1-6]|p|div|pre|blockquote|b|i|em|strong|span|sup|sub|a|caption)\s*>\s*$|<(?:br|hr)\s*/?>\s*$|-->\s*$")
 _TOKENS = ("han", "latin", "other", "breaks")
+_TOKEN = re.compile(rf"[A-Za-z]+|\d+|[{_HAN}]|[^\s\w]|[^\W]")
+#: last tokens tell of a cut if they go on so often elsewhere, and end a paragraph in at most such a share
+GOES_ON, ENDS = 3, 0.05
 
 
 def _open_end(text: str) -> bool:
@@ -72,6 +75,16 @@ def _table_end(lines: list[str]) -> str:
     return "closed" if rows[0].count("|") == rows[-1].count("|") and (len(rows) > 2 or rows[-1] == rows[0] and len(rows) != 1) else "open"
 
 
+def _last_word(text: str) -> str:
+    """The Latin word a text ends with, lower case."""
+    return _WORD.findall(text.rsplit("\n", 1)[-1])[-1].lower() if text[-1:].isascii() and text[-1:].isalpha() else ""
+
+
+def tokens_of(text: str) -> list[str]:
+    """Words, numbers (all alike), ideographs and signs of a paragraph, behind a mark of its beginning."""
+    return ["^", *("9" if t[0].isdigit() else t.lower() for t in _TOKEN.findall(text))]
+
+
 def ending(text: str, page: int) -> tuple[str, str, str]:
     """(state, last word, label) of a text. state: empty, sign, open, stop, closed, label or prose."""
     t = visible(text).rstrip()
@@ -80,14 +93,15 @@ def ending(text: str, page: int) -> tuple[str, str, str]:
     lines = [x.strip() for x in t.split("\n")]
     last, before = lines[-1], next((x for x in reversed(lines[:-1]) if x), "")
     alone = len(lines) == 1 or not lines[-2]
-    if _SIGN.search(t):
-        return "sign", "", ""
+    sign = _SIGN.search(t)
+    if sign:
+        return "sign", _last_word(t[: sign.start()].rstrip()), ""
     if is_page_number(last, page + 1) or re.fullmatch(r"(?i)[·—–\-\[(]\s*[0-9OlI]+\s*[·—–\-\])]|(?:page|p\.)\s*[0-9OlI]+|第\s*[0-9OlI]+\s*页|页\s*[0-9OlI]+", last):
         return "closed", "", ""
     shape = title_shape(last)
     if (alone or _STOP.search(before)) and shape.count("X") >= 3:
         return "closed", "", ""
-    word = (_WORD.findall(last) or [""])[-1].lower() if last[-1:].isascii() and last[-1:].isalpha() else ""
+    word = _last_word(last)
     if _open_end(t):
         return "open", word, ""
     if _STOP.search(t):
@@ -116,7 +130,7 @@ def ending(text: str, page: int) -> tuple[str, str, str]:
 
 def _first_lines(text: str) -> list[str]:
     out = []
-    for para in re.split(r"\n[ \t]*\n", visible(text)):
+    for para in re.split(r"\n[ \t]*\n", text):
         x = para.strip().split("\n", 1)[0].strip()
         x = re.sub(r"^(?:#{1,6}\s+|={1,6}\s*|<h[1-6][^>]*>|\\section\{|\*\*|__)", "", x)
         x = re.sub(r"(?:\s*={1,6}|</h[1-6]>|\}|\*\*|__)$", "", x).strip()
@@ -125,30 +139,38 @@ def _first_lines(text: str) -> list[str]:
     return out
 
 
-ENDING = "rec long, state string, word string, label string, han long, latin long, other long, breaks long"
+READ = "kind string, key string, n long, stops long, rec long, state string, word string, label string, last string, han long, latin long, other long, breaks long"
+
 
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One pass over the texts: a row (kind `end`) for the end of each, and the vocabulary of the batch, counted.
 
-def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Words (inside lines only, as those at the ends of lines may be parts), beginnings of paragraphs, and pairs of tokens: how
+    often they go on (n) and end a paragraph (stops). The last paragraph of a text is no evidence of how paragraphs end.
+    """
     han = re.compile(f"[{_HAN}，。；：、！？（）“”]")
+    names = [c.strip().split(" ")[0] for c in READ.split(", ")]
     for b in batches:
-        rows = []
+        words, paras, goes, stops, rows = Counter(), Counter(), Counter(), Counter(), []
         for rec, page, text in zip(b["rec"], b["page"], b["text"]):
             v = visible(text)
             n_han, n_latin, n_breaks = len(han.findall(v)), len(re.findall("[ -~]", v)), v.count("\n")
-            rows.append((rec, *ending(text, int(page)), n_han, n_latin, len(v) - n_han - n_latin - n_breaks, n_breaks))
-        yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in ENDING.split(", ")])
-
-
-def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words inside lines, and the beginnings of paragraphs, counted per batch. Words at the ends of lines may be parts."""
-    for b in batches:
-        words, paras = Counter(), Counter()
-        for text in b["text"]:
-            for line in visible(text).split("\n"):
+            for line in v.split("\n"):
                 words.update(w.lower() for w in _WORD.findall(line)[1:-1])
-            paras.update(_first_lines(text))
-        rows = [("word", w, n) for w, n in words.items()] + [("para", w, n) for w, n in paras.items()]
-        yield pd.DataFrame(rows, columns=["kind", "key", "n"]).astype({"kind": "object", "key": "object", "n": "int64"})
+            paras.update(_first_lines(v))
+            end = _SIGN.sub("", v.rstrip()).rstrip()
+            parts = [t for p in re.split(r"\n[ \t]*\n", end) if len(t := tokens_of(p)) > 1]
+            for t in parts:
+                goes.update(zip(t[:-2], t[1:-1]))
+            stops.update((t[-2], t[-1]) for t in parts[:-1])
+            state, word, label = ending(text, int(page))
+            last = " ".join(parts[-1][-2:]) if parts and state in ("sign", "open", "prose", "label") else ""
+            rows.append(("end", None, None, None, rec, state, word, label, last, n_han, n_latin, len(v) - n_han - n_latin - n_breaks, n_breaks))
+        blank = (None,) * 9
+        rows += [("word", w, n, 0, *blank) for w, n in words.items()] + [("para", w, n, 0, *blank) for w, n in paras.items()]
+        rows += [("last", " ".join(k), goes[k], stops[k], *blank) for k in goes.keys() | stops.keys()]
+        for i in range(0, len(rows), 20_000):
+            yield pd.DataFrame(rows[i : i + 20_000], columns=names).astype({c: "Int64" for c in ("n", "stops", "rec", *_TOKENS)})
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -160,9 +182,11 @@ def prefix_counts(vocabulary: DataFrame, asked: DataFrame) -> DataFrame:
 
     vocabulary: key, n. Each entry is a path of the trie; its nodes (prefixes) of the asked lengths are looked up.
     """
-    lengths = asked.select(F.length("key").alias("len")).distinct()
-    longest = F.lit(LABEL + 2)
-    nodes = vocabulary.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.length("key"), longest)))).join(F.broadcast(lengths), "len")
+    # few: the distinct lengths of words
+    lengths = [r[0] for r in asked.select(F.length("key")).distinct().collect()]
+    if not lengths:
+        return asked.select("key", F.lit(0).cast("long").alias("ends"), F.lit(0).cast("long").alias("goes_on"))
+    nodes = vocabulary.withColumn("len", F.explode(F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: n <= F.length("key"))))
     nodes = nodes.select(F.expr("left(key, len)").alias("node"), (F.col("len") == F.length("key")).alias("whole"), "n")
     hit = nodes.join(_bounded(asked.select(F.col("key").alias("node")).distinct()), "node")
     return hit.groupBy(F.col("node").alias("key")).agg(F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(~F.col("whole"), F.col("n")).otherwise(0)).alias("goes_on"))
@@ -187,33 +211,40 @@ def token_rates(rows: DataFrame) -> np.ndarray:
 
 
 def cut_texts(df: DataFrame, rec: str, text: str, page: str, tokens: DataFrame | None = None) -> DataFrame:
-    """(rec, state, cut): one row per text that is not null and has an id; cut is true where the text lost its end.
+    """(rec, state, cut, evidence): one row per text that is not null and has an id; cut is true where the text lost its end.
 
+    evidence: the first that holds of `word` (an unknown prefix of known words), `tokens_go_on`, `label` (a short paragraph the
+    corpus carries on), `sign`, `open`, `prose`, `token_count`; null where the text is whole.
     tokens: rec, tokens (the fewest reported by the text's messages); texts without are judged by themselves. Empty and
     blank texts are not cut, unless their message reports tokens.
     """
     texts = df.where(F.col(text).isNotNull() & F.col(rec).isNotNull()).select(F.col(rec).alias("rec"), F.coalesce(F.col(page), F.lit(-1)).alias("page"), F.col(text).alias("text"))
-    ends = materialize(texts.mapInPandas(_endings, ENDING), "endings")
-    vocabulary = materialize(texts.mapInPandas(_vocabulary, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "vocabulary")
+    read = materialize(texts.mapInPandas(_read, READ), "read")
+    ends = read.where("kind = 'end'").select("rec", "state", "word", "label", "last", *_TOKENS)
+    vocabulary = materialize(read.where("kind != 'end'").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("stops").alias("stops")), "vocabulary")
     word = prefix_counts(vocabulary.where("kind = 'word'").select("key", "n"), ends.where("word != ''").select(F.col("word").alias("key")).distinct())
     label = prefix_counts(vocabulary.where("kind = 'para'").select("key", "n"), ends.where("label != ''").select(F.col("label").alias("key")).distinct())
-    word = word.select(F.col("key").alias("word"), (F.col("ends") <= WORD_SHARE * F.col("goes_on")).alias("part"), (F.col("ends") > 0).alias("known"))
-    label = label.select(F.col("key").alias("label"), F.col("ends"), F.col("goes_on"))
-    both = ends.join(_bounded(word), "word", "left").join(_bounded(label), "label", "left")
+    word = materialize(word.select(F.col("key").alias("word"), (F.col("ends") <= WORD_SHARE * F.col("goes_on")).alias("part"), (F.col("ends") > 0).alias("known")), "words")
+    label = materialize(label.select(F.col("key").alias("label"), F.col("ends"), F.col("goes_on")), "labels")
+    last = vocabulary.where("kind = 'last'").select(F.col("key").alias("last"), "n", "stops").join(_bounded(materialize(ends.where("last != ''").select("last").distinct(), "lasts")), "last", "left_semi")
+    last = materialize(last.select("last", ((F.col("n") >= GOES_ON) & (F.col("stops") <= ENDS * (F.col("n") + F.col("stops")))).alias("carried")), "carried")
+    both = ends.join(_bounded(word), "word", "left").join(_bounded(label), "label", "left").join(_bounded(last), "last", "left")
     # a label seen once tells nothing: it is one only if it is a single word that is known
     whole = F.expr(f"ends >= {LABEL_SHARE} * (ends + goes_on) and (ends + goes_on > 1 or (not label like '% %' and (coalesce(known, false) or word = '')))")
-    cut = (
-        F.col("state").isin("sign", "open", "prose")
-        | (F.col("state").isin("label") & F.coalesce(F.col("part"), F.lit(False)))
-        | ((F.col("state") == "label") & ~F.coalesce(whole, F.lit(False)))
+    unstopped = F.col("state").isin("sign", "open", "prose")
+    evidence = (
+        F.when((unstopped | (F.col("state") == "label")) & F.coalesce("part", F.lit(False)), "word")
+        .when(unstopped & F.coalesce("carried", F.lit(False)), "tokens_go_on")
+        .when((F.col("state") == "label") & ~F.coalesce(whole, F.lit(False)), "label")
+        .when(unstopped, F.col("state"))
     )
-    out = both.select("rec", "state", cut.alias("cut"), *_TOKENS)
+    out = both.select("rec", "state", evidence.alias("evidence"), *_TOKENS)
     if tokens is not None:
         out = materialize(out.join(tokens.select(F.col(rec).alias("rec"), "tokens"), "rec", "left"), "tokens")
-        rates = token_rates(out.where("tokens is not null and han + latin >= 100 and not cut"))
+        rates = token_rates(out.where("tokens is not null and han + latin >= 100 and evidence is null"))
         expected = sum(F.col(c) * float(r) for c, r in zip(_TOKENS, rates))
-        out = out.withColumn("cut", F.col("cut") | F.coalesce(F.col("tokens") > expected * (1 + EXCESS) + 3, F.lit(False)))
-    return out.select(F.col("rec").alias(rec), "state", "cut")
+        out = out.withColumn("evidence", F.coalesce("evidence", F.when(F.col("tokens") > expected * (1 + EXCESS) + 3, "token_count")))
+    return out.select(F.col("rec").alias(rec), "state", F.col("evidence").isNotNull().alias("cut"), "evidence")
 
 
 def page_tokens(pages: DataFrame, messages: DataFrame, rec: str) -> DataFrame:
