@@ -17,13 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from leafmill.runtime import materialize
+
 # fixed values: letters of other scripts drawn like a Latin (or IPA) letter, and signs drawn alike
-_CYRILLIC = dict(zip("аеорсухѕіјһәԁԛԝӏАВЕКМНОРСТУХЅІЈԌԚԜҮѵѴ", "aeopcyxsijhədqwlABEKMHOPCTYXSIJGQWYvV"))
-_GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαεγϳϲϹͿ", "ABEZHIKMNOPTYXoɑɛɣjcCJ"))
+_CYRILLIC = dict(zip("аеорсухѕіјһәԁԛԝѡӏАВЕКМНОРСТУХЅІЈԌԚԜҮѵѴ", "aeopcyxsijhədqwwlABEKMHOPCTYXSIJGQWYvV"))
+_GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαεγνριϳϲϹͿ", "ABEZHIKMNOPTYXoɑɛɣvpɩjcCJ"))
+_LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+_CHEROKEE = dict(zip("ᎪᎬᎳᎻᏞᏟᏢᏚᎢᏃᏦᎷᏴᎠᏀᎫᏙᏒ", "AEWHLCPSTZKMBDGJVR"))
 _LATIN = {"ɡ": "g", "ǝ": "ə", "ı̇": "i", "ƨ": "ƨ"}
-_ARMENIAN = {"օ": "o", "ս": "u", "ց": "g", "հ": "h"}
-_SIGNS = {"‐": "-", "‑": "-", "−": "-", "⁃": "-", "꞉": ":", "∶": ":", "׃": ":", "ꞌ": "'", "‚": ",", "⁄": "/", "∕": "/", "․": ".", "ǃ": "!", "∗": "*", "∣": "|", "ǀ": "|", "﹘": "-"}
-LOOKALIKES = {k: v for part in (_CYRILLIC, _GREEK, _LATIN, _ARMENIAN, _SIGNS) for k, v in part.items() if len(k) == 1 and k != v}
+_ARMENIAN = {"օ": "o", "ս": "u", "ց": "g", "հ": "h", "ո": "n", "ք": "p"}
+_SIGNS = {"⍺": "ɑ", "‐": "-", "‑": "-", "−": "-", "⁃": "-", "꞉": ":", "∶": ":", "׃": ":", "ꞌ": "'", "‚": ",", "⁄": "/", "∕": "/", "․": ".", "ǃ": "!", "∗": "*", "∣": "|", "ǀ": "|", "﹘": "-"}
+LOOKALIKES = {k: v for part in (_CYRILLIC, _GREEK, _LATIN, _ARMENIAN, _LISU, _CHEROKEE, _SIGNS) for k, v in part.items() if len(k) == 1 and k != v}
 
 # fixed values: compatibility mappings that keep what is seen
 _KEEPS_GLYPH = ("<wide>", "<narrow>", "<noBreak>", "<compat>")
@@ -113,6 +117,17 @@ def form_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("h1"), F.hash(text, F.lit(7)).alias("h2"), F.length(text).alias("n"))
 
 
+def forms(df: DataFrame, row_id: str, text: str, form=visible_form) -> DataFrame:
+    """(__id, spelling, form) of the rows whose text and id are not null, materialised: keys of the text and of its form.
+
+    Each distinct text is brought to its form once: copies are put together by their key before, in each map task first.
+    """
+    rows = df.where(F.col(text).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).alias("__id"), form_key(F.col(text)).alias("spelling"), F.col(text).alias("__text"))
+    once = rows.groupBy("spelling").agg(F.min("__text").alias("__text")).select("spelling", form("__text").alias("__form"))
+    once = once.select("spelling", form_key(F.col("__form")).alias("form"))
+    return materialize(rows.select("__id", "spelling").join(once, "spelling").select("__id", "spelling", "form"), "forms")
+
+
 def same_look_pairs(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose texts look the same but are not the same code points.
 
@@ -120,32 +135,25 @@ def same_look_pairs(df: DataFrame, row_id: str, text: str) -> DataFrame:
     is of every other variant. The groups are those of `variant_classes`; only classes with two spellings or more are
     expanded, over the distinct spellings first, so exact copies never meet each other.
     """
-    rows = _spellings(df, row_id, text)
-    spelled = rows.groupBy("form", "spelling").agg(F.count("*").alias("n"))
+    rows = forms(df.where(F.length(text) > 0), row_id, text)
+    spelled = rows.select("form", "spelling").distinct()
     several = spelled.groupBy("form").agg(F.count("*").alias("k")).where("k > 1").select("form")
-    members = rows.join(several, "form", "left_semi")
-    a = spelled.join(several, "form", "left_semi").select("form", F.col("spelling").alias("sa"))
+    members = materialize(rows.join(several, "form", "left_semi").select("form", "spelling", "__id"), "members")
+    a = members.select("form", F.col("spelling").alias("sa")).distinct()
     # every ordered pair of different spellings of one form, then their rows
-    b = a.select("form", F.col("sa").alias("sb"))
-    kinds = a.join(b, "form").where("sa < sb")
+    kinds = a.join(a.select("form", F.col("sa").alias("sb")), "form").where("sa < sb")
     left = members.select("form", F.col("spelling").alias("sa"), F.col("__id").alias("ia"))
     right = members.select("form", F.col("spelling").alias("sb"), F.col("__id").alias("ib"))
     return kinds.join(left, ["form", "sa"]).join(right, ["form", "sb"]).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
 
 
-def _spellings(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    rows = df.where((F.length(text) > 0) & F.col(row_id).isNotNull()).select(F.col(row_id).alias("__id"), F.col(text).alias("__text"))
-    rows = rows.withColumn("__form", visible_form("__text"))
-    return rows.select("__id", form_key(F.col("__form")).alias("form"), form_key(F.col("__text")).alias("spelling"))
-
-
-def variant_classes(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(row_id, class_id, spellings): each row's class of same-looking texts, named by its smallest row id.
+def variant_classes(df: DataFrame, row_id: str, text: str, form=visible_form) -> DataFrame:
+    """(row_id, class_id, spellings): each row's class of texts of one form, named by its smallest row id.
 
-    Rows with a null text or id are left out; empty texts form one class.
+    form: `visible_form` (what looks the same) or `search_form` (what is the same but for case and form). Rows with a null text
+    or id are left out; empty texts form one class.
     """
-    rows = df.where(F.col(text).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).alias("__id"), F.col(text).alias("__text")).withColumn("__form", visible_form("__text"))
-    rows = rows.select("__id", form_key(F.col("__form")).alias("form"), form_key(F.col("__text")).alias("spelling"))
+    rows = forms(df, row_id, text, form)
     spelled = rows.groupBy("form", "spelling").agg(F.min("__id").alias("low"))
     classes = spelled.groupBy("form").agg(F.min("low").alias("class_id"), F.count("*").alias("spellings"))
     return rows.join(classes, "form").select(F.col("__id").alias(row_id), "class_id", "spellings")

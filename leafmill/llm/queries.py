@@ -40,18 +40,27 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return a.union(b)
 
 
-def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+def p3_classes(spark: SparkSession, d: str, form=lookalike.visible_form) -> DataFrame:
     parts = [("notation_case", "case_id", "input"), ("page_markdown", "page_id", "markdown")]
-    a, b = (lookalike.variant_classes(table(spark, d, t), i, c).select(F.lit(t).alias("table_name"), F.col(i).alias("rec_id"), "class_id", "spellings") for t, i, c in parts)
+    a, b = (lookalike.variant_classes(table(spark, d, t), i, c, form).select(F.lit(t).alias("table_name"), F.col(i).alias("rec_id"), "class_id", "spellings") for t, i, c in parts)
     return a.union(b)
 
 
+def p3_search_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Classes under the compatibility form with full case folding: case, raised and lowered signs and letter forms do not count."""
+    return p3_classes(spark, d, lookalike.search_form)
+
+
 _MARKED_UP = [("page_markdown", "page_id", "markdown"), ("layout_block", "block_id", "table_body")]
 
 
+def _elements(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (markup.element_rows(table(spark, d, t), i, "book_id", c, t) for t, i, c in _MARKED_UP)
+    return materialize(a.union(b), "elements")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (markup.kinds(markup.element_rows(table(spark, d, t), i, "book_id", c)).select(F.lit(t).alias("table_name"), "rec_id", "kind") for t, i, c in _MARKED_UP)
-    return a.union(b)
+    return markup.kinds(_elements(spark, d)).select("table_name", "rec_id", "kind")
 
 
 def p4_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -60,8 +69,7 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_templates(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (markup.template_subtrees(markup.element_rows(table(spark, d, t), i, "book_id", c)).select(F.lit(t).alias("table_name"), "host", "subtree", "n_pages") for t, i, c in _MARKED_UP)
-    return a.union(b)
+    return markup.template_subtrees(_elements(spark, d))
 
 
 def _cuts(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +86,11 @@ def p6_share(spark: SparkSession, d: str) -> DataFrame:
     return cuts.cut_share(table(spark, d, "page_markdown"), "page_id", "source", _cuts(spark, d))
 
 
+def p6_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many cut pages each kind of evidence names first."""
+    return _cuts(spark, d).where("cut").groupBy("evidence").agg(F.count("*").alias("pages"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "eval_item"), "item_id", "text", table(spark, d, "documents"), "doc_id", "text")
 
@@ -108,7 +121,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_clean": p4_clean, "p4_templates": p4_templates, "p6_found": p6_found, "p6_share": p6_share, "p7_found": p7_found, "p7_near": p7_near, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_classes": p3_classes, "p3_search_classes": p3_search_classes, "p4_found": p4_found, "p4_clean": p4_clean, "p4_templates": p4_templates, "p6_found": p6_found, "p6_share": p6_share, "p6_evidence": p6_evidence, "p7_found": p7_found, "p7_near": p7_near, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
 
 ORACLE = {
     "p9_found": """

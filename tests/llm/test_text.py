@@ -41,6 +41,18 @@ def test_pairs_of_variants(spark):
     assert lookalike.same_look_pairs(df.limit(0), "id", "t").count() == 0
 
 
+def test_search_classes_fold_case_and_form(spark):
+    rows = [(1, "Straße 5"), (2, "STRASSE ５"), (3, "strasse ⁵"), (4, "straſſe 5"), (5, "ﬁn"), (6, "FIN"), (7, "İ"), (8, "i\u0307"), (9, None), (10, "other"), (11, "other")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r.id: (r.class_id, r.spellings) for r in lookalike.variant_classes(df, "id", "t", lookalike.search_form).collect()}
+    assert got == {**{i: (1, 4) for i in (1, 2, 3, 4)}, 5: (5, 2), 6: (5, 2), 7: (7, 2), 8: (7, 2), 10: (10, 1), 11: (10, 1)}
+
+
+def test_letters_of_other_scripts():
+    for a, b in (("ѡ", "w"), ("ո", "n"), ("⍺", "ɑ"), ("ν", "v"), ("ρ", "p"), ("ꓐ", "B"), ("Ꭺ", "A")):
+        assert lookalike.visible(a) == b
+
+
 def test_classes_of_both_tables(spark, data):
     got = {r.table_name: r.n for r in queries.p3_classes(spark, data).groupBy("table_name").agg(F.count_distinct("rec_id").alias("n")).collect()}
     for t, c in (("notation_case", "input"), ("page_markdown", "markdown")):
@@ -174,6 +186,22 @@ def test_templates_are_cut(spark):
     assert got[9].clean == "Home of the site | about" and got[10].clean is None and got[11].kinds == []
 
 
+def test_subtrees_are_structural():
+    def hashes(t):
+        return [h for (_, n, _, _), h in zip(markup.elements(t), markup.subtree_hashes(t, markup.elements(t))) if n == "ul"]
+
+    one = hashes('<ul class="a"><li>Home</li><li>About <a href="x.html">us</a></li></ul>')
+    assert one == hashes('z <ul id=7 >\n<li>Home</li>\n<li class="on">About <a href="y.html">us</a></li></ul>')
+    assert one != hashes("<ul><li>Home</li><li>About us</li></ul>") and one != hashes("<ul><li>About <a>us</a></li><li>Home</li></ul>")
+    assert len(markup.subtree_hashes("", [])) == 0
+
+
+def test_kinds_of_templates_are_told_apart(spark):
+    rows = [(i, "h", f"<div>Home of the site | about</div>\n## text {i}") for i in range(8)]
+    got = {(r.rec_id, r.kind, r.own) for r in markup.kinds(markup.element_rows(spark.createDataFrame(rows, "id long, host string, t string"), "id", "host", "t")).collect()}
+    assert got == {(i, k, own) for i in range(8) for k, own in (("html", False), ("markdown", True))}
+
+
 def test_recurring_cells_and_formulas_stay(spark):
     body = "<div>Home of the site | about</div><table><tr><td>affricate</td><td>$F_{2}$ and $$x_1 = y_1$$</td></tr></table>"
     got = markup.clean_texts(spark.createDataFrame([(i, "h", body) for i in range(8)], "id long, host string, t string"), "id", "host", "t").collect()
@@ -227,6 +255,24 @@ def test_cuts(spark):
     assert cuts.cut_texts(df.limit(0), "page_id", "markdown", "pno", tokens).count() == 0
 
 
+def test_tries_decide_first(spark):
+    """A last word of any length is looked up; last tokens that go on everywhere are cut too."""
+    long = "pneumono" * 6
+    body = f"The {long}logy of the short vowel of speech is long.\n\nThe word {long}logy is of the short kind.\n\nThe tone of the short speaker is low."
+    rows = [(i, "s", 1, body) for i in range(4)] + [(10, "s", 1, f"The word is the {long}"), (11, "s", 1, f"{body}\n\nAll of it, and a good deal more, is in the tone of the short"), (12, "s", 1, f"The word is the {long}…"), (13, "s", 1, f"The word is the {long}logy")]
+    df = spark.createDataFrame(rows, "page_id long, source string, pno int, markdown string")
+    got = {r.page_id: r.evidence for r in cuts.cut_texts(df, "page_id", "markdown", "pno").collect()}
+    assert got[10] == got[12] == "word" and got[11] == "tokens_go_on" and got[0] is None and got[13] == "tokens_go_on"
+
+
+def test_prefix_counts_against_plain_python(spark):
+    words = {"vowel": 5, "vowels": 3, "voice": 2, "voiced": 7, "x" * 300: 1, "": 4}
+    asked = ["vowel", "voi", "voiced", "zz", "x" * 120, "vowels and"]
+    got = {r.key: (r.ends, r.goes_on) for r in cuts.prefix_counts(spark.createDataFrame(list(words.items()), "key string, n long"), spark.createDataFrame([(a,) for a in asked], "key string")).collect()}
+    want = {a: (words.get(a, 0), sum(n for w, n in words.items() if w.startswith(a) and w != a)) for a in asked}
+    assert got == {a: v for a, v in want.items() if v != (0, 0)}
+
+
 # ---- mixing
 
 
