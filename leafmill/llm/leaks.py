@@ -28,6 +28,8 @@ RADIUS = 3
 SIMILAR = 0.8
 #: item windows that one pass over the corpus holds in memory (some 60 bytes each); more are worked off in further passes
 PASS_WINDOWS = 400_000
+#: pairs of fingerprints compared at once
+_CANDIDATES = 2_000_000
 #: blocks of STEP shingles fingerprinted at once
 _SLICE = 1 << 13
 
@@ -82,18 +84,29 @@ def all_fingerprints(cp: np.ndarray) -> np.ndarray:
 
 
 class ItemIndex:
-    """The windows of a bounded set of items, with a table per 16-bit block of their fingerprints."""
+    """The windows of a bounded set of items, with a table per 16-bit block of their fingerprints.
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids, self.texts = np.array(ids, dtype=np.int64), texts
-        prints, item, at = [], [], []
+    Each distinct window is held once, with the list of items and places it stands in, so that a sentence many items share
+    or that repeats itself is compared once.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        prints, keys, item, at = ([np.empty(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64))
         for i, t in enumerate(texts):
-            f = all_fingerprints(rolling.code_points(t))
+            cp = rolling.code_points(t)
+            f = all_fingerprints(cp)
             prints.append(f)
+            keys.append(rolling.window_hashes(cp, WINDOW)[: f.size])
             item.append(np.full(f.size, i))
             at.append(np.arange(f.size))
-        self.prints = np.concatenate([np.empty(0, np.uint64), *prints])
-        self.item, self.at = (np.concatenate([np.empty(0, np.int64), *x]) for x in (item, at))
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if key.size else np.empty(0, np.int64)
+        # window w stands at places[begin[w] : begin[w + 1]]
+        self.begin = np.append(first, key.size)
+        self.item, self.at = (np.concatenate(x)[order] for x in (item, at))
+        self.prints = np.concatenate(prints)[order[first]]
         self.tables = []
         for key in self._keys(self.prints):
             order = np.argsort(key, kind="stable")
@@ -104,18 +117,24 @@ class ItemIndex:
         return [((f >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for i in range(4)]
 
     def near(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in f, item windows) within RADIUS bits: all of them."""
+        """(places in f, windows) within RADIUS bits: all of them. Candidates are compared in slices of bounded size."""
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for key, (order, begin) in zip(self._keys(f), self.tables):
             n = begin[key + 1] - begin[key]
             some = np.flatnonzero(n)
-            n = n[some]
-            q = np.repeat(some, n)
-            within = np.arange(q.size) - np.repeat(np.cumsum(n) - n, n)
-            w = order[np.repeat(begin[key[some]], n) + within]
-            close = np.bitwise_count(f[q] ^ self.prints[w]) <= RADIUS
-            left.append(q[close])
-            right.append(w[close])
+            sums = np.cumsum(n[some])
+            a = 0
+            while a < some.size:
+                z = max(a + 1, int(np.searchsorted(sums, (sums[a - 1] if a else 0) + _CANDIDATES, side="right")))
+                part = some[a:z]
+                m = n[part]
+                q = np.repeat(part, m)
+                within = np.arange(q.size) - np.repeat(np.cumsum(m) - m, m)
+                w = order[np.repeat(begin[key[part]], m) + within]
+                close = np.bitwise_count(f[q] ^ self.prints[w]) <= RADIUS
+                left.append(q[close])
+                right.append(w[close])
+                a = z
         both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
         return both[0], both[1]
 
@@ -141,7 +160,9 @@ def equal_run(doc: np.ndarray, at: int, item: np.ndarray, begin: int) -> int:
     return int((edges[1::2] - edges[::2]).max(initial=0))
 
 
-def _search(index: ItemIndex):
+def _search(index: ItemIndex, ids: list[list[int]]):
+    """ids: the item ids of each text of the index."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = [rolling.code_points(t) for t in index.texts]
         for b in batches:
@@ -149,25 +170,28 @@ def _search(index: ItemIndex):
             docs = b["doc"].to_numpy()
             f = grid_fingerprints(cp)
             best: dict[tuple[int, int], list] = {}
+            seen: set[tuple[int, int, int]] = set()
             for a in range(0, f.size, 1 << 18):
                 q, w = index.near(f[a : a + (1 << 18)])
                 p = (q + a) * STEP
                 row = np.searchsorted(starts, p, side="right") - 1
                 inside = p + WINDOW < starts[np.minimum(row + 1, starts.size - 1)]
                 for at, r, win in zip(p[inside].tolist(), row[inside].tolist(), w[inside].tolist()):
-                    i, begin = int(index.item[win]), int(index.at[win])
-                    text = index.texts[i][begin : begin + WINDOW]
-                    here = cp[at : at + WINDOW]
-                    like = 1.0 if np.array_equal(here, items[i][begin : begin + WINDOW]) else shingle_similarity(here.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), text)
+                    places = range(int(index.begin[win]), int(index.begin[win + 1]))
+                    i, begin = int(index.item[places[0]]), int(index.at[places[0]])
+                    here, own = cp[at : at + WINDOW], items[i][begin : begin + WINDOW]
+                    like = 1.0 if np.array_equal(here, own) else shingle_similarity(here.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), index.texts[i][begin : begin + WINDOW])
                     if like < SIMILAR:
                         continue
-                    run_len = equal_run(cp[starts[r] : starts[r + 1] - 1], at - int(starts[r]), items[i], begin)
-                    one = best.setdefault((r, i), [0.0, 0])
-                    one[0], one[1] = max(one[0], like), max(one[1], run_len)
-            keys = list(best)
-            yield pd.DataFrame(
-                {"item": index.ids[[i for _, i in keys]], "doc": docs[[r for r, _ in keys]], "similarity": [best[k][0] for k in keys], "run": np.array([best[k][1] for k in keys], dtype="int32")}
-            )
+                    for k in places:
+                        i, begin = int(index.item[k]), int(index.at[k])
+                        one = best.setdefault((r, i), [0.0, 0])
+                        one[0] = max(one[0], like)
+                        if (r, i, at - begin) not in seen:  # a diagonal is measured once
+                            seen.add((r, i, at - begin))
+                            one[1] = max(one[1], equal_run(cp[starts[r] : starts[r + 1] - 1], at - int(starts[r]), items[i], begin))
+            rows = [(n, docs[r], like, run_len) for (r, i), (like, run_len) in best.items() for n in ids[i]]
+            yield pd.DataFrame(rows, columns=["item", "doc", "similarity", "run"]).astype({"item": "int64", "doc": "int64", "similarity": "float64", "run": "int32"})
 
     return run
 
@@ -182,20 +206,22 @@ def leaked_items(items: DataFrame, item_id: str, item_text: str, docs: DataFrame
     """
     texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")).where(F.col("text").isNotNull() & F.col("doc").isNotNull())
     schema = "item long, doc long, similarity double, run int"
-    out, ids, held, size = None, [], [], 0
+    out, held, size = None, {}, 0
 
     def scan():
-        found = texts.mapInPandas(_search(ItemIndex(ids, held)), schema)
+        found = texts.mapInPandas(_search(ItemIndex(list(held)), list(held.values())), schema)
         return found if out is None else out.union(found)
 
     for i, t in items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).select(item_id, item_text).distinct().toLocalIterator():
         t = letters(t)
-        ids.append(i)
-        held.append(t)
+        if t in held:  # items of one text are one, until the end
+            held[t].append(i)
+            continue
+        held[t] = [i]
         size += max(0, len(t) - WINDOW + 1)
         if size >= PASS_WINDOWS:
-            out, ids, held, size = scan(), [], [], 0
-    if ids or out is None:
+            out, held, size = scan(), {}, 0
+    if held or out is None:
         out = scan()
     best = out.groupBy("item", "doc").agg(F.max("similarity").alias("similarity"), F.max("run").alias("run"))
     return best.select(F.col("item").alias(item_id), F.col("doc").alias(doc_id), "similarity", "run")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import rolling
@@ -26,6 +26,8 @@ SPAN = 200
 PHRASE = 120
 #: passages in an automaton (some 80 bytes a character), documents that one automaton is built for
 SHARD_PASSAGES, SHARD_DOCS = 3000, 20_000
+#: code points of a document whose passages may go to one shard: half as many passages as one holds, on average
+SHARD_REACH = 50_000
 #: occurrences up to which those of a passage are compared directly; above, exact windows part them first
 DIRECT = 32
 #: document ids that may be broadcast (8 bytes each)
@@ -38,14 +40,25 @@ def _marks(span: int, phrase: int):
             cp, starts = rolling.joined(b["text"].tolist())
             p, h = rolling.winnow(cp, starts, phrase, span - phrase + 1)
             row = np.searchsorted(starts, p, side="right") - 1
-            out = pd.DataFrame({"doc": b["doc"].to_numpy()[row], "pos": (p - starts[row]).astype("int32"), "h": h.view(np.int64)})
+            out = pd.DataFrame({"doc": b["doc"].to_numpy()[row], "part": b["part"].to_numpy()[row], "pos": (p - starts[row]).astype("int32"), "h": h.view(np.int64)})
             yield out
 
     return run
 
 
 def _texts(docs: DataFrame, row_id: str, text: str, span: int) -> DataFrame:
-    return docs.select(F.col(row_id).alias("doc"), F.col(text).alias("text")).where((F.length("text") >= span) & F.col("doc").isNotNull())
+    return docs.select(F.col(row_id).alias("doc"), F.xxhash64(text).alias("part"), F.col(text).alias("text")).where((F.length("text") >= span) & F.col("doc").isNotNull())
+
+
+def _cut_out(phrase: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text, at in zip(b["text"], b["at"]):
+                for i in range(0, len(at), 20_000):
+                    rows = [(x["shard"], x["h"], text[x["at"] : x["at"] + phrase]) for x in at[i : i + 20_000]]
+                    yield pd.DataFrame(rows, columns=["shard", "h", "text"])
+
+    return run
 
 
 def _locate(margin: int, every: bool):
@@ -84,6 +97,21 @@ def _locate(margin: int, every: bool):
     return run
 
 
+def shards(marks: DataFrame) -> DataFrame:
+    """(h, home, home_part, at, shard): the recurring passages, each with a document and place it stands in.
+
+    Passages that are near each other in their home go to one shard, so that a document meets few; no shard has more than
+    SHARD_PASSAGES, however many a document has. marks: doc, part, pos, h.
+    """
+    found = marks.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.struct("doc", "part", "pos")).alias("at")).where("low < high")
+    found = materialize(found.select("h", F.col("at.doc").alias("home"), F.col("at.part").alias("home_part"), F.col("at.pos").alias("at")), "found")
+    n = max(1, -(-found.count() // SHARD_PASSAGES))
+    near = found.withColumn("bucket", F.pmod(F.xxhash64("home", "home_part", F.floor(F.col("at") / SHARD_REACH)), F.lit(n)))
+    w = Window.partitionBy("bucket").orderBy("home", "home_part", "at", "h")
+    shard = F.col("bucket") + n * F.floor((F.row_number().over(w) - 1) / SHARD_PASSAGES)
+    return near.withColumn("shard", shard.cast("long")).drop("bucket")
+
+
 def occurrences(docs: DataFrame, row_id: str, text: str, span: int = SPAN, phrase: int = PHRASE, every: bool = True) -> DataFrame:
     """(h, doc, pos, before, after): every occurrence of every recurring passage, with its surroundings.
 
@@ -92,21 +120,21 @@ def occurrences(docs: DataFrame, row_id: str, text: str, span: int = SPAN, phras
     Null texts and texts shorter than `span` hold none, nor do rows without an id. Row ids are long; rows with one id count as one document.
     """
     texts = _texts(docs, row_id, text, span)
-    marks = materialize(texts.mapInPandas(_marks(span, phrase), "doc long, pos int, h long"), "marks")
-    passages = marks.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.struct("doc", "pos")).alias("at")).where("low < high")
-    passages = materialize(passages.select("h", F.col("at.doc").alias("home"), F.col("at.pos").alias("at")), "passages")
-    n_shards = max(1, -(-passages.count() // SHARD_PASSAGES))
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(n_shards)).cast("int"))
-    wanted = materialize(marks.join(passages.select("h", "shard"), "h").select("doc", "shard").distinct(), "wanted")
+    marks = materialize(texts.mapInPandas(_marks(span, phrase), "doc long, part long, pos int, h long"), "marks")
+    passages = materialize(shards(marks), "passages")
+    wanted = materialize(marks.join(passages.select("h", "shard"), "h").select("doc", "part", "shard").distinct(), "wanted")
     ids = wanted.select("doc").distinct()
     holders = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
     holders = materialize(holders, "holders")
 
-    salts = wanted.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).cast("int").alias("salts"))
-    first = passages.join(holders, passages.home == holders.doc).select("shard", "h", F.expr(f"substring(text, at + 1, {phrase})").alias("text"))
-    first = first.join(F.broadcast(salts), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("of"), F.col("h").alias("key"), "text")
-    second = wanted.join(F.broadcast(salts), "shard").withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("salts")).cast("int"))
-    second = second.join(holders, "doc").select("shard", "salt", F.lit(1).alias("of"), F.col("doc").alias("key"), "text")
+    salts = materialize(wanted.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).cast("int").alias("salts")), "salts")
+    # a home's places are fewer than its characters; cut out in one pass over its text
+    at = passages.groupBy(F.col("home").alias("doc"), F.col("home_part").alias("part")).agg(F.collect_list(F.struct("shard", "h", "at")).alias("at"))
+    # rows that repeat an id and a text give their passage once
+    first = at.join(holders, ["doc", "part"]).select("text", "at").mapInPandas(_cut_out(phrase), "shard long, h long, text string").groupBy("shard", "h").agg(F.min("text").alias("text"))
+    first = first.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("of"), F.col("h").alias("key"), "text")
+    second = wanted.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("salts")).cast("int"))
+    second = second.join(holders, ["doc", "part"]).select("shard", "salt", F.lit(1).alias("of"), F.col("doc").alias("key"), "text")
     rows = first.union(second).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "of")
     return materialize(rows.mapInPandas(_locate(span - phrase, every), "h long, doc long, pos int, before string, after string"), "occurrences")
 

@@ -54,6 +54,26 @@ def test_spans_of_odd_texts(spark):
     assert spans.sharing_pairs(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_a_long_home_is_split(spark):
+    """One text of two million characters whose parts recur elsewhere: no shard beyond its bound, the same pairs."""
+    rnd = random.Random(3)
+    long = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz字音", k=2_000_000))
+    parts = [(2 + k, long[k * 40_000 : (k + 1) * 40_000]) for k in range(50)]
+    df = _docs(spark, [(1, long, 0, 0), *((i, t, 0, 0) for i, t in parts)])
+    texts = spans._texts(df, "doc_id", "text", spans.SPAN)
+    found = spans.shards(texts.mapInPandas(spans._marks(spans.SPAN, spans.PHRASE), "doc long, part long, pos int, h long"))
+    sizes = [r["count"] for r in found.groupBy("shard").count().collect()]
+    assert sum(sizes) > 40_000 and max(sizes) <= spans.SHARD_PASSAGES and found.groupBy("home").count().count() == 1
+    assert {tuple(r) for r in spans.sharing_pairs(df, "doc_id", "text").collect()} == {(1, i) for i, _ in parts}
+
+
+def test_rows_of_one_id_with_other_texts(spark):
+    rnd = random.Random(4)
+    a, b = ("".join(rnd.choices("abcdefgh", k=300)) for _ in range(2))
+    df = _docs(spark, [(1, a, 0, 0), (1, b, 0, 0), (1, a, 0, 0), (2, "x" + b, 0, 0), (3, a + "y", 0, 0)])
+    assert {tuple(r) for r in spans.sharing_pairs(df, "doc_id", "text").collect()} == {(1, 2), (1, 3)}
+
+
 def test_spans_of_the_test_table(spark, data):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect() if r.text]
     assert {tuple(r) for r in queries.p9_found(spark, data).collect()} == brute_pairs(texts, 200)
@@ -105,3 +125,11 @@ def test_leaks_of_odd_texts(spark, monkeypatch):
     assert leaks.leaked_items(di.limit(0), "item_id", "text", dd, "doc_id", "text").count() == 0
     assert leaks.leaked_items(di, "item_id", "text", dd.limit(0), "doc_id", "text").count() == 0
     assert leaks.shingle_similarity("abcdefg", "abcdefg") == 1.0 and leaks.shingle_similarity("abcdefg", "tuvwxyz") == 0.0
+
+
+def test_many_equal_items_and_a_run(spark):
+    items = [(i, "x" * 80) for i in range(2000)] + [(5000 + i, "the same stock sentence that opens every single item of the suite number " + "abcdefghij"[i % 10] * (5 + i)) for i in range(60)]
+    docs = [(1, "x" * 200_000), (2, "the same stock sentence that opens every single item of the suite number zz"), (3, "x" * 59)]
+    found = leaks.leaked_items(spark.createDataFrame(items, "item_id long, text string"), "item_id", "text", spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    got = {(r.item_id, r.doc_id) for r in found.where("run >= 60").collect()}
+    assert got == {(i, 1) for i in range(2000)} | {(5000 + i, 2) for i in range(60)}
