@@ -248,3 +248,19 @@ plain_markdown_text = _text_udf(plain_markdown)
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("level", T.IntegerType()), T.StructField("title", T.StringType())])))
 def heading_list(s: pd.Series) -> pd.Series:
     return s.map(lambda t: [] if t is None else [{"level": n, "title": x} for n, x in headings(t)])
+
+
+def printed_page_number(text, footers):
+    """struct(style, number) of a page, null where none is printed, as `printed_number`, all by built-ins."""
+    from leafmill.functions.text import BLANK, strip_blanks, unix_lines
+
+    full = F.filter(F.transform(F.split(unix_lines(F.coalesce(text, F.lit(""))), "\n"), strip_blanks), lambda x: x != "")
+    tries = F.concat(F.transform(footers, strip_blanks), F.slice(full, F.greatest(F.lit(1), F.size(full) - 2), F.lit(3)), F.slice(full, F.lit(1), F.lit(1)))
+    edge = f"(?:[·.—–-]|{BLANK})*"
+    digits = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, f"^{edge}([0-9]{{1,4}}){edge}$", 1), F.lit("")), F.nullif(F.regexp_extract(x, f"^第{BLANK}*([0-9]{{1,4}}){BLANK}*页$", 1), F.lit(""))).try_cast("int")
+    names = F.array(*map(F.lit, _ROMANS))
+    roman = lambda x: F.array_position(names, F.lower(F.regexp_extract(x, f"(?i)^{edge}([ivx]{{1,8}}){edge}$", 1))).cast("int")
+    decimal = F.try_element_at(F.filter(F.transform(tries, digits), lambda n: n.between(1, 3000)), F.lit(1))
+    other = F.try_element_at(F.filter(F.transform(tries, roman), lambda n: n > 0), F.lit(1))
+    style = F.when(decimal.isNotNull(), "D").when(other.isNotNull(), "r")
+    return F.struct(style.alias("style"), F.coalesce(decimal, other).alias("number"))

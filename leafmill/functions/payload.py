@@ -124,3 +124,8 @@ def error_class(status: Column, message: Column) -> Column:
         .when(status.isNull(), "TIMEOUT")
         .otherwise("UNKNOWN")
     )
+
+
+def first_value(json_text: str, keys: list[str], default: str) -> Column:
+    """The first value that is there under any of several spellings of a setting, else the default."""
+    return F.coalesce(*(F.get_json_object(json_text, f"$.{k}") for k in keys), F.lit(default))

@@ -82,3 +82,8 @@ def rule_counts(c: Column) -> dict[str, Column]:
         "ascii_modifier_letter": n(c, RULES["ascii_modifier_letter"]),
         "ascii_position_operator": n(outside, "[_^]") - n(outside, r"\\[_^]"),
     }
+
+
+def mark_counts(c: Column) -> dict[str, Column]:
+    """How often combining marks are split from their letter, or stand alone; blanks of every kind count."""
+    return {k: F.regexp_count(c, F.lit("(?U)" + RULES[k])).cast("long") for k in ("split_combining_mark", "stray_combining_mark")}

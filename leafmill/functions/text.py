@@ -77,6 +77,7 @@ _CONTROL = "[\\u0000-\\u0008\\u000b\\u000c\\u000e-\\u001f]"
 # fixed values: script ranges
 IPA = "[\\u0250-\\u02ff\\u0300-\\u036f\\u1d00-\\u1dbf]"
 HAN = "[\\u3400-\\u9fff]"
+SYMBOL = "[\\u2190-\\u22ff\\u25a0-\\u25ff]"
 
 
 def is_page_like(c: Column) -> Column:
@@ -150,3 +151,29 @@ def cjk_punctuation(c: Column) -> Column:
     for mark, wide in zip(",.;:()", "，。；：（）"):
         c = F.regexp_replace(c, f"(?<={HAN})\\{mark}|\\{mark}(?={HAN})", wide)
     return c
+
+
+def sizes(before: Column, after: Column) -> dict[str, Column]:
+    """Characters of a text before and after cleaning."""
+    return {"chars_in": F.length(before).cast("long"), "chars_out": F.length(after).cast("long")}
+
+
+# fixed values: what is kept byte for byte, as Java patterns: code, formulas, footers
+_CODE = r"```[\s\S]*?```|`[^`\n]*`"
+_GROUP = r"\{(?:[^{}]|\{[^{}]*\})*\}"
+_FORMULA = (
+    r"(?<!\\)(?:\\\[[^\]]*\\\]|\\\([^)]*\\\)|\$[^\$\n]*\$"
+    rf"|\\(?:underset|overset|text|mathrm|mathbf|mathit|frac|sqrt)\s*(?:{_GROUP}|[^\s]+)(?:\s*{_GROUP})?|\^{_GROUP}|_{_GROUP})"
+)
+_FOOTER = r"(?mU)^[ \t]*[·.]\s*\d+\s*[·.][ \t]*$"
+
+
+def protected_tokens(c: Column) -> Column:
+    """struct(code_math, footers): code, then formulas, each in order of place, and the footer lines without outer blanks."""
+    every = lambda p: F.regexp_extract_all(c, F.lit(p), F.lit(0))
+    return F.struct(F.concat(every(_CODE), every(_FORMULA)).alias("code_math"), F.transform(every(_FOOTER), strip_blanks).alias("footers"))
+
+
+def keeps_invariants(before: Column, after: Column) -> Column:
+    """Whether a rewritten text has the protected tokens and the phonetic signs of the text before it."""
+    return protected_tokens(before).eqNullSafe(protected_tokens(after)) & ipa_signature(before).eqNullSafe(ipa_signature(after))

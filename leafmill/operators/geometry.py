@@ -161,3 +161,30 @@ def fold_rows(items: Column, limit: float) -> Column:
         return F.struct(F.when(new, e["y"]).otherwise(acc["y"]).alias("y"), row.alias("row"), F.concat(acc["all"], F.array(row)).alias("all"))
 
     return F.aggregate(items, zero, step, lambda a: a["all"])
+
+
+def plain_fallback_box(index: Column, total: Column) -> Column:
+    """The box of line `index` of `total` in a plan without any geometry: full width, 20 high, spread from 50 to 950."""
+    y0 = 50.0 + index * (F.lit(900.0) / F.greatest(total, F.lit(1)))
+    return F.struct(F.lit(20.0).alias("x0"), y0.alias("y0"), F.lit(980.0).alias("x1"), F.least(F.lit(1000.0), y0 + 20.0).alias("y1"))
+
+
+def fragment_id(order: Column, cell_row: Column, cell_col: Column) -> Column:
+    """The id of a fragment: `#t<row>c<col>` of a cell, `L` and four digits of a line."""
+    cell = F.concat(F.lit("#t"), cell_row.cast("int").cast("string"), F.lit("c"), F.coalesce(cell_col.cast("int"), F.lit(0)).cast("string"))
+    return F.when(cell_row.isNotNull(), cell).otherwise(F.format_string("L%04d", order))
+
+
+def contained(points: DataFrame, regions: DataFrame, page: list[str], point_id: str, region_id: str, kind: str, margins: dict[str, float], first_only: tuple[str, ...] = ()) -> DataFrame:
+    """(point_id, region_id, kind): points (x, y) inside regions (bx0, by0, bx1, by1) of their page, widened by their kind's margin.
+
+    Of the kinds in `first_only` a point is in one region, that with the smallest id. An equi-join on page and height bins.
+    """
+    m = F.create_map(*(F.lit(x) for kv in margins.items() for x in kv))[F.col(kind)]
+    wide = regions.withColumn("__m", m)
+    hit = binned_join(points, wide, page, F.col("y"), F.col("by0") - F.col("__m"), F.col("by1") + F.col("__m")).where((F.col("x") >= F.col("bx0") - F.col("__m")) & (F.col("x") <= F.col("bx1") + F.col("__m")))
+    every = hit.where(~F.col(kind).isin(*first_only)).select(point_id, region_id, kind) if first_only else hit.select(point_id, region_id, kind)
+    if not first_only:
+        return every
+    one = hit.where(F.col(kind).isin(*first_only)).groupBy(point_id, kind).agg(F.min(region_id).alias(region_id)).select(point_id, region_id, kind)
+    return every.union(one)

@@ -29,8 +29,18 @@ def _total(c: str, where: Column) -> Column:
     return F.coalesce(F.sum(F.when(where, first_count(F.col(c)))), F.lit(0)).cast("long")
 
 
-def usage_summary(log: DataFrame, group: list[str]) -> DataFrame:
-    """Counts by status over the latest rows of pages, token sums and percentiles (zero durations included) of successes."""
+def cost(prompt: Column, completion: Column, per_million_in: float | None, per_million_out: float | None) -> Column:
+    """What tokens come to at rates a million; null unless both rates are given."""
+    if per_million_in is None or per_million_out is None:
+        return F.lit(None).cast("double")
+    return (prompt * float(per_million_in) + completion * float(per_million_out)) / 1_000_000
+
+
+def usage_summary(log: DataFrame, group: list[str], prices: tuple[float | None, float | None] | None = None) -> DataFrame:
+    """Counts by status over the latest rows of pages, token sums and percentiles (zero durations included) of successes.
+
+    prices: rates a million tokens in and out; with them there is a column `cost`.
+    """
     rows = events(log)
     n = rows.groupBy(*group).agg(F.count("*").alias("records"))
     pages = latest_per_page(rows, group, ["received_at", "delivery_id"], ["status", "prompt_tokens", "completion_tokens", "total_tokens", "duration_ms"])
@@ -47,7 +57,8 @@ def usage_summary(log: DataFrame, group: list[str]) -> DataFrame:
         _disc("ms", 50, "status = 'success'").alias("elapsed_p50_ms"),
         _disc("ms", 95, "status = 'success'").alias("elapsed_p95_ms"),
     )
-    return n.join(out, group)
+    out = n.join(out, group)
+    return out if prices is None else out.withColumn("cost", cost(F.col("prompt_tokens"), F.col("completion_tokens"), *prices))
 
 
 def progress(log: DataFrame, group: list[str], planned: DataFrame | None = None, elapsed_ms: int | None = None) -> DataFrame:
@@ -122,3 +133,8 @@ def adaptive_limits(outcomes: DataFrame, run: str, order: list[str], most: int)
         return F.struct(now.alias("now"), F.when(grow, 0).otherwise(good).alias("good"), F.concat(acc["all"], F.array(now)).alias("all"))
 
     return rows.select(run, F.aggregate("x", zero, step, lambda a: a["all"]).alias("limits"))
+
+
+def paged(df: DataFrame, order: list[Column], limit: int, offset: int = 0, most: int = 200) -> DataFrame:
+    """One page of a sorted list; a limit is brought into 1 .. `most`, a negative offset to 0."""
+    return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))

@@ -146,12 +146,6 @@ SELECT p.probe, CASE WHEN candidates IS NULL THEN 'not_found' WHEN candidates >
   CASE WHEN candidates = 1 THEN k.book_id END AS book_id, CAST(coalesce(candidates, 0) AS BIGINT) AS candidates FROM p LEFT JOIN k USING (probe)"""
 
 
-@query(_MATCH)
-def j12_match_sources(s: SparkSession, d: str) -> DataFrame:
-    r = table(s, d, "book_record")
-    return B.match_sources(r.withColumnRenamed("book_id", "probe"), r, "probe")
-
-
 @query("""SELECT a.book_id, f.field, CASE f.field WHEN 'source_size' THEN CASE WHEN a.source_size IS NULL OR b.source_size IS NULL THEN 'unknown' WHEN a.source_size = b.source_size THEN 'same' ELSE 'diff' END
   ELSE CASE WHEN a.page_count IS NULL OR b.page_count IS NULL THEN 'unknown' WHEN a.page_count = b.page_count THEN 'same' ELSE 'diff' END END AS state
 FROM book_record a JOIN (SELECT r.book_id, r.source_size, CAST(m.n AS INTEGER) AS page_count FROM book_record r JOIN (SELECT book_id, max(pno) + 1 AS n FROM page_markdown GROUP BY 1) m USING (book_id)) b USING (book_id), (VALUES ('source_size'), ('page_count')) f(field)""")
@@ -184,23 +178,6 @@ def t12_plain_markdown(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "page_markdown").select("page_id", P.plain_markdown_text("markdown").alias("plain"))
 
 
-@query()
-def h7_table_of_contents(s: SparkSession, d: str) -> DataFrame:
-    rows = B.latest_pages(table(s, d, "page_markdown"), "page_id", "markdown")
-    return rows.select("book_id", "pno", F.posexplode(P.heading_list("markdown")).alias("seq", "h")).select("book_id", "pno", "seq", "h.level", "h.title")
-
-
-@query()
-def w6_page_labels(s: SparkSession, d: str) -> DataFrame:
-    @F.pandas_udf(T.StructType([T.StructField("style", T.StringType()), T.StructField("number", T.IntegerType())]))
-    def seen(text: pd.Series) -> pd.DataFrame:
-        found = [P.printed_number(t, []) or (None, None) for t in text]
-        return pd.DataFrame({"style": [a for a, _ in found], "number": pd.array([b for _, b in found], dtype="Int32")})
-
-    rows = B.latest_pages(table(s, d, "page_markdown"), "page_id", "markdown").select("book_id", "pno", seen("markdown").alias("x"))
-    return G.page_label_rules(rows.select("book_id", "pno", "x.style", "x.number"))
-
-
 # ---- text
 
 
@@ -227,14 +204,6 @@ def t16_garble(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "geom_line").select("line_key", X.garble_ratio(F.col("text")).alias("garble"))
 
 
-@query("""SELECT run_id, CAST(sum(n) AS BIGINT) AS damaged_chars, CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS damaged_pages, CAST(coalesce(min(page_id) FILTER (WHERE n > 0), 0) AS BIGINT) AS first_damaged FROM
-(SELECT run_id, page_id, coalesce(len(regexp_extract_all(markdown, '\\x{fffd}')), 0) AS n FROM page_markdown) GROUP BY 1""")
-def a11_corruption_totals(s: SparkSession, d: str) -> DataFrame:
-    n = F.coalesce(X.corruption(F.col("markdown"))["replacement_count"], F.lit(0))
-    p = table(s, d, "page_markdown").select("run_id", "page_id", n.alias("n"))
-    return p.groupBy("run_id").agg(F.sum("n").cast("long").alias("damaged_chars"), F.count_if(F.col("n") > 0).alias("damaged_pages"), F.coalesce(F.min(F.when(F.col("n") > 0, F.col("page_id"))), F.lit(0)).alias("first_damaged"))
-
-
 _ANCHOR = f"regexp_replace(regexp_replace(nfc_normalize(line), '{_BLANK}+', ' ', 'g'), '^ +| +$', '', 'g')"
 
 
@@ -249,48 +218,6 @@ def a5_repeated_lines(s: SparkSession, d: str) -> DataFrame:
 _KEYS = ["pharynx", "Glottis", "语料", "硬腭", "spectrum", "zzz"]
 
 
-@query(f"""SELECT k.word, CAST(count(*) AS BIGINT) AS documents, CAST(min(doc_id) AS BIGINT) AS first_doc FROM documents, (SELECT unnest({_KEYS}) AS word) k
-WHERE contains(lower(text), lower(k.word)) GROUP BY 1""")
-def a13_keyword_hits(s: SparkSession, d: str) -> DataFrame:
-    text = F.lower("text")
-    hits = F.filter(F.array(*map(F.lit, _KEYS)), lambda k: F.contains(text, F.lower(k)))
-    rows = table(s, d, "documents").select("doc_id", F.explode(hits).alias("word"))
-    return rows.groupBy("word").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
-
-
-@query("SELECT line_key, CASE WHEN regexp_full_match(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '(?i)[·.]\\s*[0-9]{1,4}\\s*[·.]|[-–—]\\s*[0-9]{1,4}\\s*[-–—]|[0-9]{1,4}|PAGE\\s*[0-9]{1,4}|第\\s*[0-9]{1,4}\\s*页|页\\s*[0-9]{1,4}') THEN 1 ELSE 0 END AS page_like FROM geom_line WHERE NOT regexp_matches(text, '[０-９]')")
-def t19_page_like(s: SparkSession, d: str) -> DataFrame:
-    g = table(s, d, "geom_line").where(~F.col("text").rlike("[０-９]"))
-    return g.select("line_key", X.is_page_like(F.col("text")).cast("int").alias("page_like"))
-
-
-@query()
-def t19_page_like_all(s: SparkSession, d: str) -> DataFrame:
-    """Every line, those with full-width digits too, which the SQL of `t19_page_like` leaves out."""
-    return table(s, d, "geom_line").select("line_key", X.is_page_like(F.col("text")).cast("int").alias("page_like"))
-
-
-@query("SELECT book_id, CASE WHEN source_name IS NULL THEN 'book' ELSE regexp_replace(regexp_replace(source_name, '\\.[^.]*$', ''), '[<>:\"/\\\\|?*]', '_', 'g') END AS stem FROM book_record")
-def t28_safe_stem(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "book_record").select("book_id", X.safe_stem(F.col("source_name")).alias("stem"))
-
-
-@query()
-def t2_cjk_punctuation(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "page_markdown").select("page_id", X.cjk_punctuation(F.col("markdown")).alias("text"))
-
-
-@query()
-def t4_normal_lines(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "page_markdown").select("page_id", X.normal_lines(F.col("markdown")).alias("text"))
-
-
-@query()
-def t26_ipa_signature(s: SparkSession, d: str) -> DataFrame:
-    sig = F.array_join(X.ipa_signature(F.col("input")), "")
-    return table(s, d, "notation_case").select("case_id", sig.alias("signature"))
-
-
 # ---- notation rules
 
 
@@ -388,22 +315,6 @@ def j3_align_pages(s: SparkSession, d: str) -> DataFrame:
     return A.alignment_metrics(a, "page_id")
 
 
-@query()
-def j5_position_gate(s: SparkSession, d: str) -> DataFrame:
-    """The lines of a page against the same lines put in reading order: each must sit on its place."""
-    g = table(s, d, "geom_line").select("line_key", *G.PAGE, "text", "y0", "y1")
-    moved = g.withColumns({"y0": F.col("y0") + F.col("line_key") % 7, "y1": F.col("y1") + F.col("line_key") % 7})
-    return A.position_gate(g, moved, G.PAGE, "line_key").drop("worst")
-
-
-@query()
-def a12_same_characters(s: SparkSession, d: str) -> DataFrame:
-    """Pages with lines: whether the joined lines hold the same characters as the page."""
-    g = table(s, d, "geom_line").groupBy(*G.PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_order", "line_key", "text"))), lambda x: x["text"]), "\n").alias("lines"))
-    p = table(s, d, "page_markdown").where("markdown is not null").join(g, G.PAGE)
-    return p.select("page_id", A.same_characters(F.col("markdown"), F.col("lines")).alias("same"))
-
-
 # ---- tables and layout
 
 
@@ -418,26 +329,11 @@ def g18_span_markup(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "layout_block").select("block_id", TB.has_spans(F.col("table_body")).cast("int").alias("spans"))
 
 
-@query()
-def h4_markdown_cells(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "page_markdown").select("page_id", TB.markdown_cells(F.col("markdown")).alias("cells")).where(F.size("cells") > 0)
-
-
 @query()
 def t25_block_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "layout_block").select("block_id", TB.block_text("block_type", "text", "table_caption", "image_caption", F.col("table_body")).alias("text"))
 
 
-@query()
-def a14_cell_match(s: SparkSession, d: str) -> DataFrame:
-    """Table cells of a block's grid against those of the grid read from its caption-less text."""
-    b = table(s, d, "layout_block").where("block_type = 'table'").select("block_id", TB.table_grid("table_body").alias("g"))
-    cells = F.transform(TB.grid_cells(F.col("g")), X.compact)
-    other = F.filter(F.transform(F.split(F.regexp_replace(TB.grid_text(F.col("g")), "\n", " "), " "), X.compact), lambda x: x != "")
-    both = materialize(b.select("block_id", cells.alias("expected"), other.alias("actual")), "cells")
-    return both.select("block_id", A.cell_match("expected", "actual").alias("m")).select("block_id", "m.*")
-
-
 @query()
 def a16_page_markdown(s: SparkSession, d: str) -> DataFrame:
     """The text of each page from its layout blocks, by height, then left edge."""

@@ -76,13 +76,18 @@ def ocr_rows(blocks: DataFrame) -> DataFrame:
     return blocks.where("type = 'ocr_text'").withColumns(sides).where("x1 > x0 and y1 > y0")
 
 
+def page_name(pno) -> F.Column:
+    """The file name of a page."""
+    return F.format_string("page_%04d.md", pno)
+
+
 def page_plan(spark: SparkSession, n_pages: int, start: int = 0, stop: int | None = None) -> DataFrame:
     """(pno, page_number, output) of the pages from start to stop; a range outside the book is an error."""
     stop = n_pages if stop is None else min(stop, n_pages)
     if not 0 <= start < stop:
         raise ValueError(f"bad page range {start}..{stop} of {n_pages}")
     pages = spark.range(start, stop).select(F.col("id").cast("int").alias("pno"))
-    return pages.select("pno", (F.col("pno") + 1).alias("page_number"), F.format_string("page_%04d.md", "pno").alias("output"))
+    return pages.select("pno", (F.col("pno") + 1).alias("page_number"), page_name(F.col("pno")).alias("output"))
 
 
 def base64_content(spark: SparkSession, path: str, largest: int = 50 << 20) -> DataFrame:

@@ -16,6 +16,7 @@ from leafmill.operators import books as B
 from leafmill.operators import geometry as G
 from leafmill.operators import tables as TB
 from leafmill.operators import usage as U
+from leafmill.plans import inventory as INV
 from leafmill.plans import toolchain as TC
 
 GOOD = ["[tʷ]", "[kʰ]", "ɕʲ", "[tɕʷ]", "[maŋ³⁵][kʰ][tʷ][aː][ˈma]", "[ã]", "语音学是研究人类说话声音的学科。", "· 1 ·", "| a | b |\n| --- | --- |\n| [tʷ] | [kʰ] |"]
@@ -341,5 +342,5 @@ def test_page_like_of_every_line(spark, tmp_path):
     like = re.compile(r"(?i)[·.]\s*\d{1,4}\s*[·.]|[-–—]\s*\d{1,4}\s*[-–—]|\d{1,4}|PAGE\s*\d{1,4}|第\s*\d{1,4}\s*页|页\s*\d{1,4}")
     texts = ["· ８４ ·", "第 ５４ 页", "１２３４５", "12", "图 ８", "", None]
     spark.createDataFrame(list(enumerate(texts)), "line_key long, text string").write.parquet(f"{tmp_path}/geom_line.parquet")
-    got = {r.line_key: r.page_like for r in TC.t19_page_like_all(spark, str(tmp_path)).collect()}
+    got = {r.line_key: r.page_like for r in INV.t19_page_like(spark, str(tmp_path)).collect()}
     assert got == {i: int(bool(like.fullmatch((t or "").strip()))) for i, t in enumerate(texts)} and sum(got.values()) == 3
