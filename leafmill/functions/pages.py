@@ -11,14 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # fixed values: what is kept byte for byte (footers, code, formulas), in the order it is looked for
-_FOOTER = r"(?m)^[ \t]*[·.]\s*\d+\s*[·.][ \t]*$"
-_CODE = r"```[\s\S]*?```|`[^`\n]*`"
-_GROUP = r"\{(?:[^{}]|\{[^{}]*\})*\}"
-_FORMULA = (
-    r"(?<!\\)(?:\\\[[^\]]*\\\]|\\\([^)]*\\\)|\$[^\$\n]*\$"
-    rf"|\\(?:underset|overset|text|mathrm|mathbf|mathit|frac|sqrt)\s*(?:{_GROUP}|[^\s]+)(?:\s*{_GROUP})?|\^{_GROUP}|_{_GROUP})"
-)
-_KEPT = [re.compile(p) for p in (_FOOTER, _CODE, _FORMULA)]
+FOOTER = r"(?m)^[ \t]*[·.]\s*\d+\s*[·.][ \t]*$"
+CODE = r"```[\s\S]*?```|`[^`\n]*`"
+FORMULA = r"(?<!\\)(?:\\\[[^\]]*\\\]|\\\([^)]*\\\)|\$[^\$\n]*\$|\\(?:underset|overset|text|mathrm|mathbf|mathit|frac|sqrt)\s*(?:\{(?:[^{}]|\{[^{}]*\})*\}|[^\s]+)(?:\s*\{(?:[^{}]|\{[^{}]*\})*\})?|\^\{(?:[^{}]|\{[^{}]*\})*\}|_\{(?:[^{}]|\{[^{}]*\})*\})"
+_KEPT = [re.compile(p) for p in (FOOTER, CODE, FORMULA)]
 _LOCAL_IMAGE = re.compile(r"!\[[^\]]*\]\((?!https?://|data:)[^)]+\)", re.I)
 _BARE_FOOTER = re.compile(r"[ \t]*[·.]\s*\d+\s*[·.][ \t]*")
 _WIDE = dict(zip(",.;:()", "，。；：（）"))

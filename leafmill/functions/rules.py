@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # fixed values: the notation rules, (code, pattern)
-_MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
-_BASES = "A-Za-zɕŋəɛɔɑβʔʂʐɖɳɭɰɣʃʒɹɿʅɦɥɤɲ'’"
 RULES = {
     "latex_residue": r"\\(?:underset|overset)\b|(?<!\\)\$|\\\[|\\\]",
     "banned_bracket_mark": r"\[[^\]\r\n]*[_^][^\]\r\n]*\]",
     "dropped_attached_mark": r"\[(?:tɕ'?|tc'?|[tkdp])[wW]\]",
     "ascii_modifier_letter": r"\[(?:[kpt][hH]|[ɕnl][jJ])\]",
-    "split_combining_mark": rf"[{_BASES}]\s+[ʷʰʲː̃̚ˈˌ{_MARKS}]",
-    "stray_combining_mark": rf"(?m)(?:^|[\s\u3000-\u303f\uff00-\uffef.,;:!?，。；：“”‘’（）|(){{}}\[\]])[{_MARKS}]",
+    "split_combining_mark": r"[A-Za-zɕŋəɛɔɑβʔʂʐɖɳɭɰɣʃʒɹɿʅɦɥɤɲ'’]\s+[ʷʰʲː̃̚ˈˌ\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]",
+    "stray_combining_mark": r"(?m)(?:^|[\s\u3000-\u303f\uff00-\uffef.,;:!?，。；：“”‘’（）|(){}\[\]])[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]",
     "ascii_position_operator": r"(?<!\\)[_^]",
 }
 _COMPILED = {k: re.compile(p) for k, p in RULES.items()}

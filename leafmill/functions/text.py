@@ -158,20 +158,12 @@ def sizes(before: Column, after: Column) -> dict[str, Column]:
     return {"chars_in": F.length(before).cast("long"), "chars_out": F.length(after).cast("long")}
 
 
-# fixed values: what is kept byte for byte, as Java patterns: code, formulas, footers
-_CODE = r"```[\s\S]*?```|`[^`\n]*`"
-_GROUP = r"\{(?:[^{}]|\{[^{}]*\})*\}"
-_FORMULA = (
-    r"(?<!\\)(?:\\\[[^\]]*\\\]|\\\([^)]*\\\)|\$[^\$\n]*\$"
-    rf"|\\(?:underset|overset|text|mathrm|mathbf|mathit|frac|sqrt)\s*(?:{_GROUP}|[^\s]+)(?:\s*{_GROUP})?|\^{_GROUP}|_{_GROUP})"
-)
-_FOOTER = r"(?mU)^[ \t]*[·.]\s*\d+\s*[·.][ \t]*$"
-
-
 def protected_tokens(c: Column) -> Column:
     """struct(code_math, footers): code, then formulas, each in order of place, and the footer lines without outer blanks."""
+    from leafmill.functions.pages import CODE, FOOTER, FORMULA
+
     every = lambda p: F.regexp_extract_all(c, F.lit(p), F.lit(0))
-    return F.struct(F.concat(every(_CODE), every(_FORMULA)).alias("code_math"), F.transform(every(_FOOTER), strip_blanks).alias("footers"))
+    return F.struct(F.concat(every(CODE), every(FORMULA)).alias("code_math"), F.transform(every("(?U)" + FOOTER), strip_blanks).alias("footers"))
 
 
 def keeps_invariants(before: Column, after: Column) -> Column:

@@ -224,3 +224,23 @@ def over_rows(text: str, rows: list[dict], least: float = 0.6) -> list[dict] | N
         if piece:
             out.append({"text": respaced(piece, r["text"]) if r.get("text") else piece, **{k: r[k] for k in ("x0", "y0", "x1", "y1")}})
     return out
+
+
+_PIECES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in ("x0", "y0", "x1", "y1"))]))
+
+
+@F.pandas_udf(_PIECES)
+def dealt_out(text: pd.Series, rows: pd.Series) -> pd.Series:
+    """`over_rows` of each block's text on its rows; null where it does not fit them."""
+    return pd.Series([None if t is None or r is None else over_rows(t, [{**x} for x in r]) for t, r in zip(text, rows)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def kept_texts(actual: pd.Series, exempt: pd.Series, wanted: pd.Series) -> pd.Series:
+    """`without_exempt` of each page's texts; null texts are none."""
+    return pd.Series([without_exempt(*([] if x is None else [t for t in x if t is not None] for x in row)) for row in zip(actual, exempt, wanted)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def split_by_weight(text: pd.Series, weights: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else weighted_pieces(t, [] if w is None else list(w)) for t, w in zip(text, weights)], dtype=object)

@@ -100,8 +100,8 @@ def coverage(lines: DataFrame, page: list[str] = PAGE) -> DataFrame:
 
 
 def upper_median(values: Column) -> Column:
-    """The value at index n / 2 of the sorted array (not the mean of the middle two)."""
-    return F.element_at(F.array_sort(values), (F.size(values) / 2).cast("int") + 1)
+    """The value at index n / 2 of the sorted array (not the mean of the middle two); null for none."""
+    return F.try_element_at(F.array_sort(values), (F.size(values) / 2).cast("int") + 1)
 
 
 def binned_join(points: DataFrame, boxes: DataFrame, page: list[str], y: Column, low: Column, high: Column, bin_height: float = 50.0) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 _ROW = re.compile(r"<tr[^>]*>(.*?)(?:</tr>|(?=<tr[\s>])|\Z)", re.S | re.I)
 _CELL = re.compile(r"<t[dh]\b([^>]*)>(.*?)(?:</t[dh]>|(?=<t[dh][\s>])|\Z)", re.S | re.I)
 _SPANS = {k: re.compile(rf"{k}span\s*=\s*[\"']?\s*(\d+)", re.I) for k in ("col", "row")}
-#: a span beyond this is damage, not layout
-MOST_SPAN = 200
+# fixed values: the HTML standard's bounds of colspan and rowspan
+_BOUNDS = {"col": 1000, "row": 65534}
 
 # fixed values: what the LaTeX of table cells becomes, in order
 LATEX_REWRITES = [
@@ -41,7 +41,7 @@ def latex_cell_text(cell: str) -> str:
 def grid(source: str | None) -> list[list[str]]:
     """Rows of equal width. A cell spanning columns is repeated, one spanning rows goes on below; short rows are padded.
 
-    Rows and cells may lack their end tags. No row: an empty grid.
+    Rows and cells may lack their end tags. Spans are taken in full, up to the bounds of the HTML standard. No row: an empty grid.
     """
     below: dict[int, tuple[str, int]] = {}
     rows = []
@@ -61,7 +61,7 @@ def grid(source: str | None) -> list[list[str]]:
             while carried():
                 pass
             text = latex_cell_text(re.sub(r"<[^>]+>", "", inner))
-            across, down = (min(MOST_SPAN, int(m[1])) if (m := _SPANS[k].search(attrs)) else 1 for k in ("col", "row"))
+            across, down = (min(_BOUNDS[k], int(m[1])) if (m := _SPANS[k].search(attrs)) else 1 for k in ("col", "row"))
             for _ in range(across):
                 if down > 1:
                     below[len(row)] = (text, down - 1)

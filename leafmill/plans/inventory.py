@@ -689,9 +689,79 @@ def a14_cell_match(s: SparkSession, d: str) -> DataFrame:
     return m.withColumns({"recall": F.when(F.col("expected") > 0, F.col("matched") / F.col("expected")), "precision": F.when(F.col("actual") > 0, F.col("matched") / F.col("actual"))})
 
 
+# ---- layout
+
+
+@query("""SELECT case_id, len(regexp_extract_all(input, '[\\x{250}-\\x{36f}\\x{1d00}-\\x{1dbf}]+')) AS ipa, len(regexp_extract_all(input, '[\\x{2190}-\\x{22ff}\\x{25a0}-\\x{25ff}]+')) AS symbol, len(regexp_extract_all(input, '[\\x{0}-\\x{7f}]+')) AS latin,
+  len(regexp_extract_all(input, '[^\\x{0}-\\x{7f}\\x{250}-\\x{36f}\\x{1d00}-\\x{1dbf}\\x{2190}-\\x{22ff}\\x{25a0}-\\x{25ff}]+')) AS han FROM notation_case""")
+def t22_font_runs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "notation_case").select("case_id", *(c.alias(k) for k, c in LY.script_run_counts(F.col("input")).items()))
+
+
+@query("""WITH p AS (SELECT run_id, book_id, pno, row_number() OVER (PARTITION BY run_id, book_id ORDER BY pno) - 1 AS pos, CASE WHEN pno % 7 <> 0 OR hash_free THEN pno END AS reported FROM (SELECT DISTINCT run_id, book_id, pno, run_id LIKE '%1' AS hash_free FROM geom_line WHERE pno IS NOT NULL)),
+n AS (SELECT *, count(reported) OVER (PARTITION BY run_id, book_id) AS r, count(*) OVER (PARTITION BY run_id, book_id) AS n FROM p)
+SELECT run_id, book_id, CAST(pos AS BIGINT) AS pos, CAST(CASE WHEN r >= n THEN reported ELSE pos END AS BIGINT) AS page FROM n""")
+def j14_source_pages(s: SparkSession, d: str) -> DataFrame:
+    """The pages of a run with lines, where some pages report no number: then the whole run goes by position."""
+    p = table(s, d, "geom_line").where("pno is not null").select(*G.PAGE).distinct()
+    w = Window.partitionBy("run_id", "book_id").orderBy("pno")
+    p = p.withColumns({"pos": (F.row_number().over(w) - 1).cast("long"), "reported": F.when((F.col("pno") % 7 != 0) | F.col("run_id").endswith("1"), F.col("pno")), "given": F.lit(None).cast("int")})
+    return LY.resolved_pages(p, ["run_id", "book_id"], "pos", "given", "reported")
+
+
+@query("""WITH b AS (SELECT block_id, run_id, book_id, page_idx + CASE part_file WHEN 'part2' THEN 200 ELSE 0 END AS pno, x0, y0, x1, y1 FROM layout_block WHERE block_type = 'equation'),
+h AS (SELECT g.line_key, min(b.block_id) AS block_id FROM geom_line g JOIN b USING (run_id, book_id, pno) WHERE (g.x0 + g.x1) / 2.0 BETWEEN b.x0 - 5 AND b.x1 + 5 AND (g.y0 + g.y1) / 2.0 BETWEEN b.y0 - 5 AND b.y1 + 5 GROUP BY 1)
+SELECT block_id, string_agg(g.text, '' ORDER BY g.x0, g.y0, g.line_key) AS text, CAST(count(*) AS INTEGER) AS pieces FROM h JOIN geom_line g USING (line_key) GROUP BY 1""")
+def h6_equation_texts(s: SparkSession, d: str) -> DataFrame:
+    b = _blocks_all(s, d).where("block_type = 'equation'").select("block_id", *G.PAGE, *(F.col(c).alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")))
+    return LY.equation_texts(table(s, d, "geom_line"), b, G.PAGE, "line_key", "block_id")
+
+
+@query()
+def w3_merged_lines(s: SparkSession, d: str) -> DataFrame:
+    """The lines of each page after fragments on one line are joined."""
+    full = table(s, d, "geom_line").where("x0 is not null and y0 is not null and x1 is not null and y1 is not null and text is not null")
+    g = full.groupBy(*G.PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "x1", "y1", "text"))).alias("g"))
+    return g.select(*G.PAGE, F.size("g").alias("fragments"), LY.merged_lines("g").alias("m")).select(*G.PAGE, "fragments", F.size("m").alias("lines"), F.array_join(F.transform("m", lambda x: x["text"]), "\n").alias("text"))
+
+
+@query()
+def w12_block_rows(s: SparkSession, d: str) -> DataFrame:
+    """Each block's text dealt out to the rows printed in its band; no rows where it does not fit them."""
+    text = table(s, d, "layout_block").where("block_type = 'text'").select("block_id", "text")
+    g = table(s, d, "geom_line").select("line_key", *G.PAGE, G.center("y0", "y1").alias("y"), "text", "x0", "y0", "x1", "y1")
+    rows = G.binned_join(g, _blocks(s, d), G.PAGE, F.col("y"), F.col("b0") - 15.0, F.col("b1") + 15.0).groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "line_key", "text", "x1", "y1"))).alias("r"))
+    both = materialize(text.join(rows, "block_id"), "rows")
+    return both.select("block_id", F.size("r").alias("rows"), A.dealt_out("text", "r").alias("p")).select("block_id", "rows", F.coalesce(F.size("p"), F.lit(0)).alias("pieces"))
+
+
+@query()
+def j15_not_exempt(s: SparkSession, d: str) -> DataFrame:
+    """The lines of each page that are left once the text of its excluded lines is used up."""
+    g = _routed(s, d)
+    texts = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("line_order", "line_key", "text")))), lambda x: x["text"])
+    out = F.col("mode").eqNullSafe("header_footer_excluded")
+    per = g.groupBy(*G.PAGE).agg(texts(F.lit(True)).alias("all"), texts(out).alias("exempt"), texts(~out).alias("wanted"))
+    return per.select(*G.PAGE, F.size("all").alias("lines"), A.kept_texts("all", "exempt", "wanted").alias("k")).select(*G.PAGE, "lines", F.size("k").alias("kept"))
+
+
+@query()
+def t21_weighted_split(s: SparkSession, d: str) -> DataFrame:
+    """Block texts in three parts by the weights 1, 1, 2, cut at blanks only."""
+    b = table(s, d, "layout_block").where("text is not null")
+    p = b.select("block_id", A.split_by_weight("text", F.array(F.lit(1.0), F.lit(1.0), F.lit(2.0))).alias("p"))
+    return p.select("block_id", F.size("p").alias("pieces"), F.array_join("p", "|").alias("text"))
+
+
 # ---- streams
 
 
+@query(_EVENTS + """ SELECT date_trunc('hour', received_at) AS hour, st AS status, count(*) AS rows, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM e GROUP BY 1, 2""".replace("date_trunc('hour', received_at)", "epoch_us(date_trunc('hour', received_at))"))
+def r1_rows_per_hour(s: SparkSession, d: str) -> DataFrame:
+    h = ST.per_hour(table(s, d, "usage_log"))
+    return h.select(F.unix_micros("hour").alias("hour"), "status", "rows", "tokens")
+
+
 @query(_latest("run_id") + " SELECT run_id, page_key, delivery_id, st AS status, total_tokens FROM l WHERE n = 1")
 def r2_latest_after_batches(s: SparkSession, d: str) -> DataFrame:
     """The store of latest rows after three batches of the log, the last of which repeats the first."""

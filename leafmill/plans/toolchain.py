@@ -119,10 +119,17 @@ def t30_first_count(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "usage_log").select("delivery_id", X.first_count(F.col("prompt_tokens"), F.col("total_tokens")).alias("tokens"))
 
 
-@query()
+@query(
+    _EVENTS.replace("WITH e", "WITH RECURSIVE e")
+    + """, o AS (SELECT run_id, coalesce(http_status, 0) = 429 AS slow, st = 'success' AS ok, row_number() OVER (PARTITION BY run_id ORDER BY received_at, delivery_id) AS k FROM e),
+f AS (SELECT run_id, CAST(0 AS BIGINT) AS k, 4 AS now, 0 AS good FROM o GROUP BY 1 UNION ALL SELECT o.run_id, o.k,
+  CAST(CASE WHEN o.slow THEN greatest(1, f.now // 2) WHEN coalesce(o.ok, false) AND f.good + 1 >= 20 THEN least(4, f.now + 1) ELSE f.now END AS INTEGER), CAST(CASE WHEN o.slow OR NOT coalesce(o.ok, false) OR f.good + 1 >= 20 THEN 0 ELSE f.good + 1 END AS INTEGER) FROM f JOIN o ON o.run_id = f.run_id AND o.k = f.k + 1)
+SELECT run_id, string_agg(CAST(now AS VARCHAR), ',' ORDER BY k) AS limits FROM f WHERE k > 0 GROUP BY 1"""
+)
 def n13_adaptive_limits(s: SparkSession, d: str) -> DataFrame:
     e = U.events(table(s, d, "usage_log")).select("run_id", "received_at", "delivery_id", "http_status", "status")
-    return U.adaptive_limits(e, "run_id", ["received_at", "delivery_id"], 4)
+    limits = U.adaptive_limits(e, "run_id", ["received_at", "delivery_id"], 4)
+    return limits.select("run_id", F.array_join(F.col("limits").cast("array<string>"), ",").alias("limits"))
 
 
 # ---- books and pages
@@ -351,5 +358,5 @@ def n6_page_plans(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def w10_table_columns(s: SparkSession, d: str) -> DataFrame:
-    c = LY.table_columns(table(s, d, "geom_line"), G.PAGE)
-    return c.select(*G.PAGE, F.size("columns").alias("n_columns"))
+    c = LY.table_columns(table(s, d, "geom_line"), G.PAGE, "line_key")
+    return c.select(*G.PAGE, F.size("columns").alias("n_columns"), F.array_join(F.transform("columns", lambda x: F.format_string("%.4f %.4f", x[0], x[1])), ";").alias("columns"))

@@ -33,16 +33,27 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all intermediate tables written so far; results that still read them must be done with."""
+    while _written:
+        _remove(spark, _written.pop())
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage like `checkpoint()`, survives the loss of executors, and stores columns compressed.
-    The files go when the Python process ends.
+    The files go with `clear`, or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/leafmill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _written:
+        atexit.register(clear, spark)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

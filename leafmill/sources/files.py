@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import uuid
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.functions.payload import stored_text_of
+from leafmill.functions.text import safe_stem
 from leafmill.operators.geometry import clamp
+from leafmill.runtime import materialize
 
 PAGE_FILE = r"(?:^|/)page_(\d+)\.md$"
 
@@ -57,7 +64,8 @@ def read_usage(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_usage(events: DataFrame, folder: str) -> None:
-    events.write.mode("append").json(folder)
+    """Rows added to a folder of JSON lines, keys in their order; a job's files appear together or not at all."""
+    events.select(*sorted(events.columns)).write.mode("append").option("ignoreNullFields", "false").json(folder)
 
 
 def read_layout(spark: SparkSession, part1: str, part2: str | None = None, offset: int = 200) -> DataFrame:
@@ -71,9 +79,16 @@ def read_layout(spark: SparkSession, part1: str, part2: str | None = None, offse
 
 
 def ocr_rows(blocks: DataFrame) -> DataFrame:
-    """Rows of recognised text: unit boxes scaled to 0 .. 1000, degenerate ones dropped. blocks: pno, type, bbox."""
+    """Rows of recognised text: unit boxes scaled to 0 .. 1000, degenerate ones dropped, with their `row` in their page by height, then left.
+
+    blocks: pno, type, bbox; without pno there are no rows to number.
+    """
     sides = {n: clamp(F.get("bbox", F.lit(i)) * 1000.0) for i, n in enumerate(("x0", "y0", "x1", "y1"))}
-    return blocks.where("type = 'ocr_text'").withColumns(sides).where("x1 > x0 and y1 > y0")
+    rows = blocks.where("type = 'ocr_text'").withColumns(sides).where("x1 > x0 and y1 > y0")
+    if "pno" not in blocks.columns:
+        return rows
+    w = Window.partitionBy("pno").orderBy(F.col("y0") + F.col("y1"), F.col("x0") + F.col("x1"))
+    return rows.withColumn("row", F.row_number().over(w) - 1)
 
 
 def page_name(pno) -> F.Column:
@@ -95,9 +110,48 @@ def base64_content(spark: SparkSession, path: str, largest: int = 50 << 20) -> D
     return spark.read.format("binaryFile").load(path).where(F.col("length") <= largest).select("path", "length", F.base64("content").alias("base64"))
 
 
-def write_books(books: DataFrame, folder: str) -> None:
-    """One text file per book, named by its id; nothing is written for no books."""
-    books.select(F.col("book").alias("value"), "book_id").repartition("book_id").write.partitionBy("book_id").mode("overwrite").option("lineSep", "\n").text(folder)
+def write_books(books: DataFrame, folder: str) -> DataFrame:
+    """(book_id, path) of the files written: `<stem>-ocr.md` of each book in a folder all executors share; none for no books.
+
+    books: book_id, book, and `stem` (else the id). A file is written under another name and then renamed, so readers see whole
+    ones, and a task that runs again writes the same.
+    """
+    stem = F.col("stem") if "stem" in books.columns else F.col("book_id")
+
+    def write(batches):
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            paths = []
+            for name, text in zip(b["stem"], b["book"]):
+                path = os.path.join(folder, f"{name}-ocr.md")
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "w", encoding="utf-8", newline="\n") as f:
+                    f.write(text)
+                os.replace(part, path)
+                paths.append(path)
+            yield pd.DataFrame({"book_id": b["book_id"], "path": paths})
+
+    done = books.where("book is not null").select(F.col("book_id").cast("string").alias("book_id"), safe_stem(stem).alias("stem"), "book").mapInPandas(write, "book_id string, path string")
+    return materialize(done, "books")
+
+
+# fixed values: the reports a build leaves beside its books
+ARTEFACTS = ("boxes", "align_report", "verify_report", "census_report", "llm_pages", "mineru_boxes", "usage_summary")
+
+
+def write_artefact(df: DataFrame, folder: str, name: str) -> None:
+    """One of the ARTEFACTS as JSON lines in its own folder, in place of an older one; null fields are kept."""
+    if name not in ARTEFACTS:
+        raise ValueError(f"no such artefact: {name}")
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder.rstrip('/')}/{name}")
+
+
+def text_or_json(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text) of files: the text of a stored response for `.json`, else the file as it is. Files that are no UTF-8 are skipped."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    rows = files.select("path", F.expr("try_validate_utf8(cast(content as string))").alias("text")).where("text is not null")
+    is_json = F.lower("path").endswith(".json")
+    return rows.where(~is_json).union(rows.where(is_json).select("path", stored_text_of("text").alias("text")))
 
 
 def json_text(c):

@@ -11,10 +11,21 @@ def box(x0, y0, x1, y1, text=""):
     return {"x0": float(x0), "y0": float(y0), "x1": float(x1), "y1": float(y1), "text": text}
 
 
+def test_columns_by_votes(spark):
+    table = [box(10, 10, 900, 20)] + [box(x, y, x + 80, y + 10) for y in (40, 70, 100) for x in (10, 300, 600)]
+    stray = [box(0, 0, 40, 10), box(0, 40, 40, 50), box(100, 40, 140, 50), box(120, 40, 125, 50), box(0, 80, 40, 90), box(100, 80, 140, 90)]
+    wide = [box(0, 0, 40, 10), box(0, 40, 40, 50), box(60, 41, 400, 51), box(300, 42, 340, 52)]
+    groups = {"t": table, "one": table[:1], "stray": stray, "wide": wide, "twice": [*table, *table]}
+    rows = [(k, i, b["x0"], b["y0"], b["x1"], b["y1"]) for k, bs in groups.items() for i, b in enumerate(bs)]
+    df = spark.createDataFrame(rows, "g string, i int, x0 double, y0 double, x1 double, y1 double")
+    got = {r.g: [tuple(c) for c in r.columns] for r in L.table_columns(df, ["g"], "i").collect()}
+    assert got["t"] == [(10.0, 90.0), (300.0, 380.0), (600.0, 680.0)] and got["one"] == [] and got["stray"] == [(0.0, 40.0), (100.0, 140.0)]
+    assert len(got) == 5 and L.table_columns(df.limit(0), ["g"], "i").count() == 0
+
+
 def test_rows_and_columns():
     table = [box(10, 10, 900, 20)] + [box(x, y, x + 80, y + 10) for y in (40, 70, 100) for x in (10, 300, 600)]
-    assert L.column_ranges(table) == [(10.0, 90.0), (300.0, 380.0), (600.0, 680.0)]
-    assert [len(r) for r in L.rows_by_mean(table)] == [1, 3, 3, 3] and L.column_ranges([]) == [] and L.column_ranges(table[:1]) == []
+    assert [len(r) for r in L.rows_by_mean(table)] == [1, 3, 3, 3]
     lines = L.merge_same_line([box(0, 10, 50, 20, "a"), box(55, 10, 90, 21, "b"), box(300, 10, 320, 20, "c"), box(0, 40, 9, 50, "d")])
     assert [x["text"] for x in lines] == ["ab", "c", "d"]
     cells = L.cells_of([box(0, 0, 1, 2) | {"column_no": 0}, box(9, 0.5, 10, 2.5) | {"column_no": 1}, box(0, 9, 1, 11) | {"column_no": 0}])
@@ -38,7 +49,7 @@ def test_sizes_and_special_lines():
     assert units[-1]["text"] == "$$清浊$$" and (units[-1]["y0"] + units[-1]["y1"]) / 2 == 140 and units[0]["text"] == "out"
     assert L.page_numbers([3, 4], [1], 2) == [3, 4] and L.page_numbers(None, [100], 1) == [100] and L.page_numbers(None, [5], 3) == [0, 1, 2] and L.page_numbers(None, ["x", 4], 1) == [4]
     assert L.table_gate(["a", "b"], "") == (2, 0, 0.0, 0.0) and L.table_gate(["ab", "c"], "a b c")[1:] == (2, 1.0, 1.0)
-    assert L.script_runs("ab字ɕ字") == [("latin", "ab"), ("han", "字"), ("ipa", "ɕ"), ("han", "字")] and L.script_runs("") == []
+    assert L.script_runs("ab字ɕ字") == [("latin", "ab"), ("han", "字"), ("ipa", "ɕ"), ("han", "字")] and L.script_runs("") == [] and L.script_runs("a→■") == [("latin", "a"), ("symbol", "→■")]
 
 
 def test_pages(spark, data):

@@ -300,7 +300,7 @@ def test_files(spark, tmp_path):
         S.page_plan(spark, 3, 5)
     books = spark.createDataFrame([("a", "# A\n")], "book_id string, book string")
     S.write_books(books, str(tmp_path / "out"))
-    assert "# A" in next((tmp_path / "out" / "book_id=a").glob("*.txt")).read_text()
+    assert "# A" in (tmp_path / "out" / "a-ocr.md").read_text()
     c = ['{"transcript_response":{"choices":[{"message":{"content":"hi"}}]},"text":"no"}', '{"text":"t"}', "x"]
     assert _col(spark, c, S.json_text) == ["hi", "t", None]
     assert S.base64_content(spark, str(d)).count() == 3
