@@ -117,15 +117,26 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_pairs(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each shared stretch, as membership: linear where the pairs are not."""
+    return spans.sharing_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_parts(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_classes": p3_classes, "p3_search_classes": p3_search_classes, "p4_found": p4_found, "p4_clean": p4_clean, "p4_templates": p4_templates, "p6_found": p6_found, "p6_share": p6_share, "p6_evidence": p6_evidence, "p7_found": p7_found, "p7_near": p7_near, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p3_found": p3_found, "p3_classes": p3_classes, "p3_search_classes": p3_search_classes, "p4_found": p4_found, "p4_clean": p4_clean, "p4_templates": p4_templates, "p6_found": p6_found, "p6_share": p6_share, "p6_evidence": p6_evidence, "p7_found": p7_found, "p7_near": p7_near, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_classes": p9_classes, "p9_shared": p9_shared}
 
 ORACLE = {
     "p9_found": """
 WITH w AS (SELECT DISTINCT doc_id, substr(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
 m AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1), k AS (SELECT w.* FROM w JOIN m USING (s))
 SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.s = b.s AND a.doc_id < b.doc_id""",
+    "p9_shared": """
+WITH w AS (SELECT DISTINCT doc_id, b, substr(text, b + 1, 200) AS s FROM (SELECT doc_id, text, unnest(range(0, length(text) - 199)) AS b FROM documents WHERE length(text) >= 200)),
+m AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1), k AS (SELECT DISTINCT doc_id, b FROM w JOIN m USING (s)),
+c AS (SELECT doc_id, CAST(sum(coalesce(least(200, lead_b - b), 200)) AS BIGINT) AS shared_chars FROM (SELECT doc_id, b, lead(b) OVER (PARTITION BY doc_id ORDER BY b) AS lead_b FROM k) GROUP BY 1),
+n AS (SELECT doc_id, CAST(max(length(text)) AS BIGINT) AS n_chars FROM documents WHERE text IS NOT NULL GROUP BY 1)
+SELECT doc_id, coalesce(shared_chars, 0) AS shared_chars, n_chars, CASE WHEN n_chars > 0 THEN coalesce(shared_chars, 0) / n_chars ELSE 0.0 END AS share FROM n LEFT JOIN c USING (doc_id)""",
 }

@@ -162,14 +162,31 @@ def sharing_pairs(docs: DataFrame, row_id: str, text: str, span: int = SPAN, phr
     )
     direct = a.join(b, "h").where("doc_id_a < doc_id_b").where(reach).select("doc_id_a", "doc_id_b")
     w = _windows(many, span, phrase).select("w", "doc").distinct()
-    # of all windows with one and the same set of documents, one is expanded
-    sets = w.groupBy("w").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"), F.min("doc").alias("low")).where("n > 1")
-    one = sets.groupBy("n", "s", "low").agg(F.min("w").alias("w")).select("w")
-    w = w.join(one, "w", "left_semi")
+    w = materialize(w, "windows")
+    w = w.join(_one_of_each_set(w), "w", "left_semi")
     split = w.select("w", F.col("doc").alias("doc_id_a")).join(w.select("w", F.col("doc").alias("doc_id_b")), "w").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
     return direct.union(split).distinct()
 
 
+def sharing_classes(docs: DataFrame, row_id: str, text: str, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
+    """(class_id, row_id, docs): the sets of documents that share one stretch of `span` or more, as membership.
+
+    `sharing_pairs` are the pairs within the classes; this form is linear in the occurrences, however many documents share a
+    stretch. Stretches shared by one and the same documents are one class; a document may be in several. docs: the class's size.
+    """
+    occ = occurrences(docs, row_id, text, span, phrase, every=False)
+    w = materialize(_windows(occ, span, phrase).select("w", "doc").distinct(), "windows")
+    one = _one_of_each_set(w)
+    return w.join(one, "w").select(F.col("w").alias("class_id"), F.col("doc").alias(row_id), F.col("n").alias("docs"))
+
+
+def _one_of_each_set(w: DataFrame) -> DataFrame:
+    """(w, n): of all windows with one and the same set of two documents or more, one. Sets are told by two sums of hashes."""
+    sums = [F.sum(F.xxhash64("doc", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1)]
+    sets = w.groupBy("w").agg(F.count("*").alias("n"), *sums, F.min("doc").alias("low")).where("n > 1")
+    return sets.groupBy("n", "s0", "s1", "low").agg(F.min("w").alias("w")).select("w", "n")
+
+
 def shared_parts(docs: DataFrame, row_id: str, text: str, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
     """(row_id, shared_chars, n_chars, share): how much of each document stands in others, in spans of `span` or more.
 

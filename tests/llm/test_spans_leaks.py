@@ -48,6 +48,11 @@ def test_spans_of_odd_texts(spark):
     got = {tuple(r) for r in spans.sharing_pairs(df, "doc_id", "text").collect()}
     want = brute_pairs(texts, 200)
     assert got == want and (7, 8) in got and (2, 10) in got and (3, 4) not in got
+    members: dict = {}
+    for r in spans.sharing_classes(df, "doc_id", "text").collect():
+        members.setdefault(r.class_id, set()).add(r.doc_id)
+        assert r.docs > 1
+    assert {(x, y) for m in members.values() for x in m for y in m if x < y} == want and len({frozenset(m) for m in members.values()}) == len(members)
     part = {r.doc_id: r for r in spans.shared_parts(df, "doc_id", "text").collect()}
     assert part[2].shared_chars == 200 and part[2].share == 1.0 and part[3].shared_chars == 0 and part[9].share == 0.0
     assert part[8].shared_chars == 250 and part[7].shared_chars == 700
