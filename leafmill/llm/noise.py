@@ -1,7 +1,7 @@
 """Noise of scanned pages: running lines, page numbers, words split by line breaks, misread words; and its repair.
 
 Lines come from page texts (one row per page) or from a table of lines; both become one table of *lines* that holds what
-later steps need: words, pairs of ideographs, the pieces at a line break, and the text of edge lines only. Words are
+later steps need: words, pairs of ideographs (each as one string, which is cheaper to bring from Python than lists), the pieces at a line break, and the text of edge lines only. Words are
 counted over all lines of all tables given together. The anagram hash of a word is the sum of its characters' hashes; two
 words that differ by one or two neighbouring characters read as another, or as two, have equal hashes once those are taken
 away. So the differences of the whole alphabet are one equi-join of rare words with frequent ones, and which of them are
@@ -77,7 +77,7 @@ def _strings(*names: str) -> T.StructType:
 
 
 LINE = (
-    "table_name string, rec_id long, line_no int, book_id string, pno int, edge string, text string, words array<string>, terms array<string>, lost boolean, "
+    "table_name string, rec_id long, line_no int, book_id string, pno int, edge string, text string, words string, terms string, lost boolean, "
     "mark string, a string, b string, next_rec long, next_no int"
 )
 
@@ -211,7 +211,7 @@ def _page_lines(table: str):
                     mark = break_mark(raw[i])
                     after = i + 1 if mark and not last and full[k + 1] == i + 1 else None
                     goes_on = after is not None
-                    row = (table, rec, i + 1, book, pno, edge, s if edge else None, whole_words(s, mark, open_ and first_piece(s)), terms_of(s), is_lost(s, last))
+                    row = (table, rec, i + 1, book, pno, edge, s if edge else None, " ".join(whole_words(s, mark, open_ and first_piece(s))), " ".join(terms_of(s)), is_lost(s, last))
                     open_ = goes_on
                     rows.append((*row, mark, last_piece(s) if goes_on else None, first_piece(seen[after]) if goes_on else None, rec if goes_on else None, after + 1 if goes_on else None))
                 if len(rows) >= _SLICE:
@@ -235,13 +235,15 @@ def lines_of_table(df: DataFrame, table: str, rec: str, text: str, page: list[st
     a heading. Where a line has no place, it must be the first or last of its page.
     """
 
-    @F.pandas_udf("text string, words array<string>, rest array<string>, terms array<string>, lost boolean, lost_last boolean, mark string, a string, head string")
+    @F.pandas_udf("text string, words string, rest string, terms string, lost boolean, lost_last boolean, mark string, a string, head string")
     def seen(s: pd.Series) -> pd.DataFrame:
         rows = []
         for x in s:
             t, mark = visible(x).strip(), break_mark(x)
             head = first_piece(t)
-            rows.append((t, whole_words(t, mark, None), whole_words(t, mark, head), terms_of(t), is_lost(t, False), is_lost(t, True), mark, last_piece(t) if mark else None, head))
+            words = whole_words(t, mark, None)
+            rest = words[1:] if head and words[:1] == [head] else words
+            rows.append((t, " ".join(words), " ".join(rest), " ".join(terms_of(t)), is_lost(t, False), is_lost(t, True), mark, last_piece(t) if mark else None, head))
         return pd.DataFrame(rows, columns=["text", "words", "rest", "terms", "lost", "lost_last", "mark", "a", "head"])
 
     w = Window.partitionBy(*page).orderBy(*order, rec)
@@ -422,12 +424,17 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_WORDS else df
 
 
+def _list(c: str) -> Column:
+    """The words of a line, which travel as one string; null for none."""
+    return F.when(F.col(c) != "", F.split(c, " "))
+
+
 def _context(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """rows (word, variant, bits, before, after) with bits for the words beside each, which the whole corpus was asked for."""
     l, r = F.concat_ws(" ", "before", "variant"), F.concat_ws(" ", "variant", "after")
     rows = rows.withColumn("l", F.when(F.col("before").isNotNull(), l)).withColumn("r", F.when(F.col("after").isNotNull(), r))
     asked = rows.select(F.explode(F.array("l", "r")).alias("two")).where("two is not null").distinct()
-    twos = lines.select(F.explode(F.expr("transform(sequence(2, greatest(2, size(words))), i -> concat_ws(' ', get(words, i - 2), get(words, i - 1)))")).alias("two"))
+    twos = lines.select(_list("words").alias("words")).where("size(words) > 1").select(F.explode(F.expr("transform(sequence(2, size(words)), i -> concat_ws(' ', get(words, i - 2), get(words, i - 1)))")).alias("two"))
     seen = twos.join(_bounded(materialize(asked, "asked")), "two", "left_semi").groupBy("two").count().where("count > 1").select("two")
     seen = _bounded(materialize(seen, "beside"))
     for c in ("l", "r"):
@@ -447,7 +454,7 @@ def word_defects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     others is named, but not replaced.
     """
     key = ["table_name", "rec_id", "line_no"]
-    counts = materialize(lines.select(F.explode(F.concat("words", "terms")).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "counts")
+    counts = materialize(lines.select(F.explode(F.split(F.concat_ws(" ", F.nullif("words", F.lit("")), F.nullif("terms", F.lit(""))), " ")).alias("word")).where("word != ''").groupBy("word").agg(F.count("*").alias("n")), "counts")
     splits = lines.where("b is not null and a != ''").select(*key, "next_rec", "next_no", "mark", "a", "b", F.concat("a", "b").alias("joined"), F.concat_ws("-", "a", "b").alias("compound"))
     splits = materialize(splits, "splits")
     parts = ("joined", "compound", "a", "b")
@@ -469,12 +476,12 @@ def word_defects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     null = F.lit(None).cast("string")
     table = _bounded(fixes.select("word", "variant", "bits"))
     around = F.expr("transform(words, (w, i) -> struct(w as word, get(words, i - 1) as before, get(words, i + 1) as after))")
-    here = lines.select(*key, "lost", F.explode(around).alias("x")).select(*key, "lost", "x.*").join(table, "word").where(f"lost or not word rlike '[{LOST}]'").drop("lost")
+    here = lines.select(*key, "lost", _list("words").alias("words")).select(*key, "lost", F.explode(around).alias("x")).select(*key, "lost", "x.*").join(table, "word").where(f"lost or not word rlike '[{LOST}]'").drop("lost")
     here = materialize(here, "here")
     needy = here.where((F.col("bits") < ENOUGH) | (F.col("bits") - 2 * ALONE < ENOUGH))
     sure = here.where(F.col("bits") - 2 * ALONE >= ENOUGH).select(*key, "word", "variant")
     judged = _context(lines, needy).where(F.col("bits") >= ENOUGH).select(*key, "word", "variant")
-    signs = lines.select(*key, F.explode("terms").alias("word")).join(_bounded(han), "word").select(*key, "word", F.when(F.col("sure"), F.col("variant")).alias("variant"))
+    signs = lines.select(*key, F.explode(_list("terms")).alias("word")).join(_bounded(han), "word").select(*key, "word", F.when(F.col("sure"), F.col("variant")).alias("variant"))
     lost = lines.where("lost").select(*key, F.lit(LOST[0]).alias("word"), null.alias("variant"))
     single = _bounded(alone.select("word", "variant"))
     joined = hyphens.join(single, hyphens.joined == single.word).withColumn("at", F.expr("size(filter(sequence(1, least(length(joined), length(variant))), i -> left(joined, i) = left(variant, i))) + 1"))
