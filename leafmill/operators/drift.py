@@ -23,7 +23,7 @@ def _parsed(raw: DataFrame) -> DataFrame:
     """JSON objects only. In brackets a line is parsed whole: text behind the object spoils it."""
     boxed = raw.withColumn("__v", F.expr("try_parse_json(concat('[', record, ']'))"))
     boxed = boxed.withColumn("__o", F.expr("try_variant_get(__v, '$[0]', 'variant')")).where(
-        F.expr("schema_of_variant(__o) like 'OBJECT<%' and try_variant_get(__v, '$[1]', 'variant') is null")
+        F.col("record").rlike(r"^[ \t\r\n]*\{") & F.expr("__o is not null and try_variant_get(__v, '$[1]', 'variant') is null")
     )
     return boxed.withColumn("__text", F.when(F.col("record").rlike(_NESTED), F.from_json("record", "map<string,string>"))).drop("__v")
 
