@@ -70,6 +70,18 @@ _CONSTRUCTS: list[tuple[str, str, re.Pattern]] = [
 ]
 
 
+# what a text must hold for a construct to be looked for; a construct that is not here is always looked for
+_TRIGGERS = {
+    ("markdown", "strong"): ("**", "__"), ("markdown", "emphasis"): ("*", "_"), ("markdown", "link"): ("](",), ("markdown", "heading"): ("#",), ("markdown", "underlined"): ("===", "---"), ("markdown", "rule"): ("*", "_", "---"),
+    ("markdown", "table"): ("|",), ("markdown", "quote"): (">",), ("wiki", "table"): ("{|", "|-", "|}", "!!", "||"), ("wiki", "heading"): ("=",), ("wiki", "quotes"): ("''",), ("latex", "display"): ("$$", "\\["), ("latex", "inline"): ("$", "\\("),
+}
+
+
+def _may_hold(text: str, kind: str, name: str) -> bool:
+    signs = _TRIGGERS.get((kind, name))
+    return signs is None or any(x in text for x in signs)
+
+
 def _masked(text: str) -> tuple[str, list[tuple[str, str, int, int]]]:
     """The text with what stands inside code replaced by \\0, and the code elements."""
     found = []
@@ -79,9 +91,11 @@ def _masked(text: str) -> tuple[str, list[tuple[str, str, int, int]]]:
         s = m[0]
         return s[: a - m.start()] + re.sub(r"[^\n]", "\0", s[a - m.start() : b - m.start()]) + s[b - m.start() :]
 
-    text = _FENCE.sub(lambda m: over(m, m.start(), m.end(), "markdown", "fence"), text)
-    text = _SPAN.sub(lambda m: over(m, m.start(), m.end(), "markdown", "code"), text)
-    for m in reversed(list(_RAW.finditer(text))):
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub(lambda m: over(m, m.start(), m.end(), "markdown", "fence"), text)
+    if "`" in text:
+        text = _SPAN.sub(lambda m: over(m, m.start(), m.end(), "markdown", "code"), text)
+    for m in reversed(list(_RAW.finditer(text))) if "<" in text or "\\begin" in text else ():
         g = 2 if m[2] is not None else 4
         text = text[: m.start(g)] + re.sub(r"[^\n]", "\0", m[g]) + text[m.end(g) :]
     return text, found
@@ -117,7 +131,7 @@ def elements(text: str) -> list[tuple[str, str, int, int]]:
     masked, found = _masked(text)
     found += _html(masked)
     for kind, name, pattern in _CONSTRUCTS:
-        for m in pattern.finditer(masked):
+        for m in pattern.finditer(masked) if _may_hold(masked, kind, name) else ():
             if kind == "wiki" and name == "link" and "|" not in m[0] and ":" not in m[0] and _IPA.search(m[0]):
                 continue  # a narrow transcription in double brackets
             if name in ("emphasis", "strong") and _IPA.search(m[0]) and m[0].startswith("*") and not m[0].startswith("**"):
