@@ -87,7 +87,12 @@ def tokens_of(text: str) -> list[str]:
 
 def ending(text: str, page: int) -> tuple[str, str, str]:
     """(state, last word, label) of a text. state: empty, sign, open, stop, closed, label or prose."""
-    t = visible(text).rstrip()
+    return _ending(visible(text), page)
+
+
+def _ending(text: str, page: int) -> tuple[str, str, str]:
+    """`ending` of a text in its visible form."""
+    t = text.rstrip()
     if not t:
         return "empty", "", ""
     lines = [x.strip() for x in t.split("\n")]
@@ -163,7 +168,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for t in parts:
                 goes.update(zip(t[:-2], t[1:-1]))
             stops.update((t[-2], t[-1]) for t in parts[:-1])
-            state, word, label = ending(text, int(page))
+            state, word, label = _ending(v, int(page))
             last = " ".join(parts[-1][-2:]) if parts and state in ("sign", "open", "prose", "label") else ""
             rows.append(("end", None, None, None, rec, state, word, label, last, n_han, n_latin, len(v) - n_han - n_latin - n_breaks, n_breaks))
         blank = (None,) * 9
