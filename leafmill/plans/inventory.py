@@ -13,6 +13,7 @@ from leafmill.operators import books as B
 from leafmill.operators import geometry as G
 from leafmill.operators import ink as I
 from leafmill.operators import layout as LY
+from leafmill.operators import refine as RF
 from leafmill.operators import tables as TB
 from leafmill.operators import usage as U
 from leafmill.operators import verify as V
@@ -753,6 +754,33 @@ def t21_weighted_split(s: SparkSession, d: str) -> DataFrame:
     return p.select("block_id", F.size("p").alias("pieces"), F.array_join("p", "|").alias("text"))
 
 
+def _refined(s: SparkSession, d: str) -> DataFrame:
+    b = _blocks_all(s, d)
+    caption = F.array_join(F.coalesce("table_caption", F.array().cast("array<string>")), "\n")
+    b = b.select("block_id", *G.PAGE, "text", "x0", "y0", "x1", "y1", (F.col("block_type") == "table").alias("is_table"), TB.table_grid("table_body").alias("grid"), caption.alias("caption"))
+    return RF.refined(b.where("is_table is not null"), table(s, d, "geom_line"), "block_id", "line_key")
+
+
+@query()
+def n9_refined_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Every block as the cells or rows printed for it, or whole."""
+    return _refined(s, d)
+
+
+@query()
+def n8_table_cells(s: SparkSession, d: str) -> DataFrame:
+    return _refined(s, d).where("how = 'cells'").groupBy("block_id").agg(F.count("*").alias("cells"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+
+
+@query("""SELECT page_id, k, 18.0::DOUBLE AS x, 96.0 + (k + 0.72::DOUBLE) * (1032.0::DOUBLE / n) AS y, greatest(1.0, least(8.0, 1032.0::DOUBLE / n * 0.55::DOUBLE)) AS size FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS k, count(*) OVER (PARTITION BY page_id) AS n
+FROM (SELECT page_id, unnest(string_split(markdown, chr(10))) AS line, unnest(range(len(string_split(markdown, chr(10))))) AS k FROM page_markdown WHERE markdown IS NOT NULL) WHERE trim(line) <> '')""")
+def n7_fallback_flow(s: SparkSession, d: str) -> DataFrame:
+    """Where the lines of a text go on a page of 800 x 1200 of which nothing is known."""
+    n = table(s, d, "page_markdown").where("markdown is not null").select("page_id", F.posexplode(F.filter(F.split("markdown", "\n"), lambda x: F.trim(x) != "")).alias("k", "line"))
+    at = RF.flow_position(F.col("k"), F.count("*").over(Window.partitionBy("page_id")), 800.0, 1200.0)
+    return n.select("page_id", F.col("k").cast("long").alias("k"), at.alias("p")).select("page_id", "k", "p.*")
+
+
 # ---- streams
 
 

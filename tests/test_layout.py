@@ -52,6 +52,31 @@ def test_sizes_and_special_lines():
     assert L.script_runs("ab字ɕ字") == [("latin", "ab"), ("han", "字"), ("ipa", "ɕ"), ("han", "字")] and L.script_runs("") == [] and L.script_runs("a→■") == [("latin", "a"), ("symbol", "→■")]
 
 
+def test_cells_on_rows():
+    from leafmill.operators import refine as R
+
+    printed = [box(100, 60, 500, 70, "caption"), box(100, 100, 150, 110, "a"), box(300, 100, 340, 110, "雪"), box(100, 121, 150, 131, "b"), box(310, 120, 330, 130, "c"), box(305, 118, 335, 148, "，"), box(0, 900, 9, 910, "other")]
+    cols = [(100.0, 150.0), (300.0, 340.0)]
+    got = R.cells_on_rows([["A", "p"], ["B", "C"]], printed, cols, 95.0, 135.0, "表 1")
+    assert [(c["cell"], c["text"]) for c in got] == [("caption", "表 1"), ("t0c0", "A"), ("t0c1", "p"), ("t1c0", "B"), ("t1c1", "C")]
+    assert (got[0]["y0"], got[0]["x1"]) == (60.0, 500.0) and (got[4]["x0"], got[4]["x1"], got[4]["y1"] - got[4]["y0"]) == (310.0, 330.0, 10.0)
+    merged = R.cells_on_rows([["A", "A"], ["B", ""]], printed, cols, 95.0, 135.0)
+    assert [(c["cell"], c["x0"], c["x1"]) for c in merged] == [("t0c0", 100.0, 340.0), ("t1c0", 100.0, 150.0)]
+    for grid, p, c in (([["A"]], printed, cols), ([["A", "B"], ["C"]], printed, cols), ([["", ""]], printed, cols), ([["A", "B"], ["C", "D"]], [], cols), ([["A", "B"], ["C", "D"]], printed, [])):
+        assert R.cells_on_rows(grid, p, c, 95.0, 135.0) is None
+    wider = R.cells_on_rows([["A", "x", "y"], ["B", "C", "D"]], printed, [(100.0, 150.0), (160.0, 340.0)], 95.0, 135.0)
+    assert len(wider) == 6 and wider[2]["x1"] <= 340.0
+
+
+def test_refined_blocks_lose_nothing(spark, data):
+    from leafmill.plans import inventory
+
+    got = inventory.n9_refined_blocks(spark, data).collect()
+    ids = {r.block_id for r in spark.read.parquet(f"{data}/layout_block.parquet").select("block_id").collect()}
+    assert {r.block_id for r in got} == ids and all(r.n == 0 and r.fragment == "" for r in got if r.how == "whole")
+    assert len({(r.block_id, r.fragment) for r in got}) == len(got)
+
+
 def test_pages(spark, data):
     assert toolchain.n6_page_plans(spark, data).count() > 0 and toolchain.w10_table_columns(spark, data).count() > 0
     df = spark.createDataFrame([(1, ["e"], None, ["m"]), (2, None, [], ["m"]), (3, None, None, None)], "k int, external array<string>, ink array<string>, embedded array<string>")
