@@ -127,7 +127,7 @@ def occurrences(docs: DataFrame, row_id: str, text: str, span: int = SPAN, phras
     holders = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
     holders = materialize(holders, "holders")
 
-    salts = materialize(wanted.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).cast("int").alias("salts")), "salts")
+    salts = wanted.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_DOCS).cast("int").alias("salts"))
     # a home's places are fewer than its characters; cut out in one pass over its text
     at = passages.groupBy(F.col("home").alias("doc"), F.col("home_part").alias("part")).agg(F.collect_list(F.struct("shard", "h", "at")).alias("at"))
     # rows that repeat an id and a text give their passage once
@@ -162,7 +162,6 @@ def sharing_pairs(docs: DataFrame, row_id: str, text: str, span: int = SPAN, phr
     )
     direct = a.join(b, "h").where("doc_id_a < doc_id_b").where(reach).select("doc_id_a", "doc_id_b")
     w = _windows(many, span, phrase).select("w", "doc").distinct()
-    w = materialize(w, "windows")
     w = w.join(_one_of_each_set(w), "w", "left_semi")
     split = w.select("w", F.col("doc").alias("doc_id_a")).join(w.select("w", F.col("doc").alias("doc_id_b")), "w").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
     return direct.union(split).distinct()
@@ -175,7 +174,7 @@ def sharing_classes(docs: DataFrame, row_id: str, text: str, span: int = SPAN, p
     stretch. Stretches shared by one and the same documents are one class; a document may be in several. docs: the class's size.
     """
     occ = occurrences(docs, row_id, text, span, phrase, every=False)
-    w = materialize(_windows(occ, span, phrase).select("w", "doc").distinct(), "windows")
+    w = _windows(occ, span, phrase).select("w", "doc").distinct()
     one = _one_of_each_set(w)
     return w.join(one, "w").select(F.col("w").alias("class_id"), F.col("doc").alias(row_id), F.col("n").alias("docs"))
 
