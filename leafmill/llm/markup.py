@@ -55,7 +55,7 @@ _CONSTRUCTS: list[tuple[str, str, re.Pattern]] = [
     ("markdown", "item", re.compile(r"(?m)^[ \t]*(?:[-+*][ \t]+(?![-+*\d\s]+[-–—·*]?[ \t]*$)\S|\d{1,3}[.)][ \t]+\S).*$")),
     ("markdown", "quote", re.compile(r"(?m)^ {0,3}>[ \t]?(?!\s*\d+\s*/)\S.*$")),
     ("markdown", "strong", re.compile(r"(?<![A-Za-z0-9*])\*\*(?=[^\s*])[^*\n]+?(?<=\S)\*\*(?!\*)|(?<![A-Za-z0-9_])__(?=[^\s_])[^_\n]+?(?<=\S)__(?![A-Za-z0-9_])")),
-    ("markdown", "emphasis", re.compile(r"(?<![\w*\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?![\w_])")),
+    ("markdown", "emphasis", re.compile(r"(?<![A-Za-z0-9*\\])\*[㐀-鿿]+\*(?![A-Za-z0-9*])|(?<![\w*\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?![\w_])")),
     ("markdown", "strike", re.compile(r"~~(?=\S)[^~\n]+?(?<=\S)~~")),
     ("wiki", "table", re.compile(r"(?m)^[ \t]*\{\|.*$|^[ \t]*\|-+[ \t]*$|^[ \t]*\|\}|^[ \t]*!(?!\[)[^\n]*!![^\n]*$|^[ \t]*\|[^|\n]+\|\|[^\n]*$")),
     ("wiki", "heading", re.compile(r"(?m)^[ \t]*(={1,6})(?!=)[^\n=]+\1[ \t]*$")),

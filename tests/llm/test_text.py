@@ -158,7 +158,7 @@ def test_both_tables_are_repaired(spark, data):
 
 MARKUP = [
     ("<p align=center>x", {"html"}), ("a&nbsp;b", {"html"}), ("<!-- x", {"html"}), ("<TR><TD>a</TD>", {"html"}), ("## a", {"markdown"}), ("a\n===", {"markdown"}), ("| a | b |\n| --- | --- |", {"markdown"}),
-    ("**a**", {"markdown"}), ("这是**重音**的。", {"markdown"}), ("这是__重音__的。", {"markdown"}), ("x**2 and y**3", set()), ("a__b__c", set()), ("字*tʰa³³和*pa", set()), ("`<td>$x$</td>`", {"markdown"}), ("```\n<td>\n\\frac{a}{b}\n```", {"markdown"}), ("[a](b.md)", {"markdown"}), ("+ text", {"markdown"}), ("> quote", {"markdown"}), ("=== a ===", {"wiki"}),
+    ("**a**", {"markdown"}), ("这是**重音**的。", {"markdown"}), ("这是__重音__的。", {"markdown"}), ("x**2 and y**3", set()), ("这里*音强*和音色对立", {"markdown"}), ("字*pa 和*ta", set()), ("a__b__c", set()), ("字*tʰa³³和*pa", set()), ("`<td>$x$</td>`", {"markdown"}), ("```\n<td>\n\\frac{a}{b}\n```", {"markdown"}), ("[a](b.md)", {"markdown"}), ("+ text", {"markdown"}), ("> quote", {"markdown"}), ("=== a ===", {"wiki"}),
     ("{{Note|x}}", {"wiki"}), ("[[a|b]]", {"wiki"}), ("''a''", {"wiki"}), ('{| class="x"\n|-\n| a || b\n|}', {"wiki"}), ("$F_{2}$", {"latex"}), ("\\textbf{a}", {"latex"}), ("\\(4 \\times 5\\)", {"latex"}), ("$[\\underset{w}{t}]$", {"latex"}),
     ("*kʰa and *pa are starred", set()), ("字母<gh>代表<th>", set()), ("F1 < 300 且 F2 > 200", set()), ("was $9 and later $22 & postage", set()), ("旧价 $8，新价 $10", set()), ("{i, u, a}", set()), ("[[tʰa³³]]", set()), ("V > 0 / _ #", set()),
     ("- 12 -", set()), ("· 4 ·", set()), ("[ 3 ]", set()), ("Item #7 is marked *", set()), ("", set()),
