@@ -206,7 +206,15 @@ def t17_corruption(s: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", *(c.alias(n) for n, c in X.corruption(F.col("markdown")).items()))
 
 
-@query()
+_WORD_SIGN = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}"
+# signs between words are doubled, so that each word can take one on either side
+_TOKENS = f"list_transform(regexp_extract_all(regexp_replace(text, '([^{_WORD_SIGN}?])', '\\1\\1', 'g'), '(?:^|[^{_WORD_SIGN}])([A-Z]{{2,}}[a-z]|[A-Za-z]*\\p{{Nd}}+[A-Za-z]+|[A-Za-z]+\\?[A-Za-z]*)(?:[^{_WORD_SIGN}]|$)', 1), lambda x: length(x))"
+
+
+@query(
+    f"""SELECT line_key, CASE WHEN n = 0 THEN 0.0 ELSE least(1.0, (bad + tokens)::DOUBLE / n) END AS garble FROM (SELECT line_key, length(regexp_replace(text, '{_BLANK}', '', 'g')) AS n, len(regexp_extract_all(text, '[?\\x{{fffd}}]')) + len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]'))
+  + len(regexp_extract_all(text, '\\p{{Co}}')) AS bad, coalesce(list_sum({_TOKENS}), 0) AS tokens FROM geom_line)"""
+)
 def t16_garble(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "geom_line").select("line_key", X.garble_ratio(F.col("text")).alias("garble"))
 
