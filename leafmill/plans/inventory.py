@@ -718,7 +718,13 @@ def h6_equation_texts(s: SparkSession, d: str) -> DataFrame:
     return LY.equation_texts(table(s, d, "geom_line"), b, G.PAGE, "line_key", "block_id")
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT run_id, book_id, pno, y0, x0, x1, y1, text, row_number() OVER (PARTITION BY run_id, book_id, pno ORDER BY round_even(y0 / 3, 0), x0, y0, x1, y1, text) AS k FROM geom_line WHERE x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL AND text IS NOT NULL),
+m AS (SELECT run_id, book_id, pno, k, 1 AS line, y0, y1, x0, x1, text FROM g WHERE k = 1 UNION ALL
+  SELECT g.run_id, g.book_id, g.pno, g.k, CASE WHEN j THEN line ELSE line + 1 END, CASE WHEN j THEN p0 ELSE g.y0 END, CASE WHEN j THEN greatest(p1, g.y1) ELSE g.y1 END, CASE WHEN j THEN q0 ELSE g.x0 END, CASE WHEN j THEN greatest(q1, g.x1) ELSE g.x1 END, g.text
+  FROM (SELECT m.run_id, m.book_id, m.pno, m.line, m.k, m.y0 AS p0, m.y1 AS p1, m.x0 AS q0, m.x1 AS q1, h.k AS nk, abs(m.y0 - h.y0) <= 3 AND abs(m.y1 - h.y1) <= 3 AND h.x0 >= m.x0 - 1 AND h.x0 <= m.x1 + 30 AS j FROM m JOIN g h ON h.run_id IS NOT DISTINCT FROM m.run_id AND h.book_id IS NOT DISTINCT FROM m.book_id AND h.pno IS NOT DISTINCT FROM m.pno AND h.k = m.k + 1) s
+  JOIN g ON g.run_id IS NOT DISTINCT FROM s.run_id AND g.book_id IS NOT DISTINCT FROM s.book_id AND g.pno IS NOT DISTINCT FROM s.pno AND g.k = s.nk),
+t AS (SELECT run_id, book_id, pno, line, string_agg(text, '' ORDER BY k) AS t, count(*) AS n FROM m GROUP BY ALL)
+SELECT run_id, book_id, pno, CAST(sum(n) AS INTEGER) AS fragments, CAST(count(*) AS INTEGER) AS lines, string_agg(t, chr(10) ORDER BY line) AS text FROM t GROUP BY ALL""")
 def w3_merged_lines(s: SparkSession, d: str) -> DataFrame:
     """The lines of each page after fragments on one line are joined."""
     full = table(s, d, "geom_line").where("x0 is not null and y0 is not null and x1 is not null and y1 is not null and text is not null")
